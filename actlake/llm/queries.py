@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actlake.llm import exact_dedup
-from actlake.llm.common import documents
+from actlake.llm import exact_dedup, quality
+from actlake.llm.common import documents, fold, labels
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,17 @@ FROM norm WINDOW g AS (PARTITION BY body)
 """
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold("doc_id", 5) == 0
+    model = quality.train(docs, labels(spark, sf_dir), ~held_out)
+    return quality.classify(docs, model, held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op9_exact_dedup": op9_exact_dedup,
+        "op10_quality_classifier": op10_quality_classifier,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
