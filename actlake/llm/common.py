@@ -27,6 +27,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file; the package is installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id's decimal text modulo ``folds``."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % folds
