@@ -19,6 +19,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(documents(spark, sf_dir))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_sentencepiece": op2_sentencepiece,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_classifier": op10_quality_classifier,
     }
