@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actlake.llm import exact_dedup, packing, pieces, quality, secrets
+from actlake.llm import exact_dedup, packing, pieces, quality, secrets, toxicity
 from actlake.llm.common import documents, fold, labels, tokenizer
 
 
@@ -19,6 +19,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), fold("doc_id", 3) == 1
+    model = toxicity.train(docs, labels(spark, sf_dir), ~held_out)
+    return toxicity.classify(docs, model, held_out)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -47,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_toxicity": op3_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_classifier": op10_quality_classifier,
