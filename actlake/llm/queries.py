@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actlake.llm import exact_dedup, packing, pieces, quality, secrets, token_counts, toxicity
+from actlake.llm import ann, exact_dedup, packing, pieces, quality, secrets, token_counts, toxicity
 from actlake.llm.common import documents, fold, labels, tokenizer
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, model, held_out)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_toxicity": op3_toxicity,
+        "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_token_counts": op7_token_counts,
         "op9_exact_dedup": op9_exact_dedup,
