@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actlake.llm import ann, exact_dedup, packing, pieces, quality, secrets, token_counts, toxicity
+from actlake.llm import ann, exact_dedup, lm, packing, pieces, quality, secrets, token_counts, toxicity
 from actlake.llm.common import documents, fold, labels, tokenizer
 
 
@@ -37,6 +37,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), fold("doc_id", 10) == 0)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_copies(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_token_counts": op7_token_counts,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_classifier": op10_quality_classifier,
     }
