@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actlake.llm import ann, exact_dedup, lm, packing, pieces, quality, secrets, token_counts, toxicity
+from actlake.llm import ann, exact_dedup, lm, neardup, packing, pieces, quality, secrets, token_counts, toxicity
 from actlake.llm.common import documents, fold, labels, tokenizer
 
 
@@ -33,6 +33,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group(documents(spark, sf_dir), width=4)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_nearest_neighbours": op4_nearest_neighbours,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_lm_scoring": op8_lm_scoring,
         "op9_exact_dedup": op9_exact_dedup,
