@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actlake.llm.common import cut
+from actlake.llm.common import cut, fresh
 
 KEY = ["_digest", "_check", "_length"]
 
@@ -73,5 +73,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A row with a null id stays only where its whole group has null ids.
     """
-    kept = group_copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    own = fresh(docs, "kept_id")
+    kept = group_copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(own)).distinct()
+    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(own)), "left_semi")

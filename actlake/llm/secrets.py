@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actlake.llm.common import fresh
+
 # The patterns that results are compared by, and the least length of what they find.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -167,12 +169,13 @@ def mask(docs: DataFrame, model: list[float], text_col: str = "text", length_col
     Rows without a secret stay as they are; the columns keep their names and order.
     """
     names = docs.columns
-    found = find(docs, model, text_col, "_secret_base", "_secret_spans")
-    hit = F.size("_secret_spans") > 0
-    new = found.withColumn("_secret_text", masked(F.col(text_col), F.col("_secret_spans")))
+    base, spans, text = (fresh(docs, f"secret_{x}") for x in ("base", "spans", "text"))
+    found = find(docs, model, text_col, base, spans)
+    hit = F.size(spans) > 0
+    new = found.withColumn(text, masked(F.col(text_col), F.col(spans)))
     out = {c: F.col(f"`{c}`") for c in names}
-    out[text_col] = F.col("_secret_text").alias(text_col)
+    out[text_col] = F.col(text).alias(text_col)
     if length_col in names:
         kind = docs.schema[length_col].dataType
-        out[length_col] = F.when(hit, F.length("_secret_text").cast(kind)).otherwise(F.col(f"`{length_col}`")).alias(length_col)
+        out[length_col] = F.when(hit, F.length(text).cast(kind)).otherwise(F.col(f"`{length_col}`")).alias(length_col)
     return new.select(*[out[c] for c in names])
