@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from actlake.llm.common import cut
+from actlake.llm.common import cut, mix
 
 CURVES, PROJECTED, KEY_BITS = 4, 7, 8
 BLOCK_ROWS, QUERY_ROWS, SAMPLE_QUERIES, TARGET = 16_384, 4096, 64, 0.97
@@ -180,28 +180,44 @@ def search(
     queries = index.select("uid", "v", "keys").join(asked.select("uid").distinct(), "uid", "left_semi")
     bounds = _bounds(index, blocks)
     window = fit_window(index, queries, bounds, k + 1, sample_queries, target)
-    chunks = max(1, -(-queries.count() // QUERY_ROWS))
+    one = np.ones((CURVES, blocks), np.int64)
 
-    def placed(df: DataFrame, reach: int) -> DataFrame:
-        """A row for each curve and for each range within ``reach`` of the vector's own."""
+    def placed(df: DataFrame, reach: int, own: np.ndarray, other: np.ndarray, names: tuple[str, str]) -> DataFrame:
+        """A row for each curve, each range within ``reach`` of the vector's own and each share of the other side there.
+
+        ``own`` and ``other`` hold the number of shares of the two sides by curve and range; ``names`` are the shares' columns.
+        """
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
                 at = _blocks(np.array(b["keys"].to_pylist()), bounds)
+                salt = (mix(b["uid"].to_numpy().view(np.uint64)) >> np.uint64(1)).view(np.int64)
                 for c in range(CURVES):
                     low, high = np.maximum(at[:, c] - reach, 0), np.minimum(at[:, c] + reach, blocks - 1)
                     row = np.repeat(np.arange(len(at)), high - low + 1)
                     block = low[row] + np.arange(len(row)) - np.searchsorted(row, row)
+                    times = other[c, block]
+                    share = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    row, block = np.repeat(row, times), np.repeat(block, times)
                     part = b.drop_columns(["keys"]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(row), c)), pa.array(block)], [*part.schema.names, "curve", "block"])
+                    more = [pa.array(x) for x in (np.full(len(row), c), block, salt[row] % own[c, block], share)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "curve", "block", *names])
 
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "keys")
-        return df.mapInArrow(run, f"{kinds}, curve long, block long")
+        return df.mapInArrow(run, f"{kinds}, curve long, block long, {names[0]} long, {names[1]} long")
+
+    def shares(df: DataFrame, reach: int, rows: int) -> np.ndarray:
+        """Into how many shares of about ``rows`` each range is split, so that no crowded range is one task's work."""
+        found = one.copy()
+        for r in placed(df.select("uid", "keys"), reach, one, one, ("own", "other")).groupBy("curve", "block").count().collect():
+            found[r.curve, r.block] = -(-r["count"] // rows)
+        return found
 
-    here = placed(queries, window).withColumn("chunk", F.pmod(F.xxhash64("uid"), F.lit(chunks)))
-    there = placed(index.select("uid", "v", "keys"), 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
+    index_rows = index.select("uid", "v", "keys")
+    chunks, parts = shares(queries, window, QUERY_ROWS), shares(index_rows, 0, 2 * block_rows)
+    here, there = placed(queries, window, chunks, parts, ("chunk", "part")), placed(index_rows, 0, parts, chunks, ("part", "chunk"))
 
     def compare(q: pa.Table, v: pa.Table) -> pa.Table:
         if not q.num_rows or not v.num_rows:
@@ -210,7 +226,7 @@ def search(
         r, c, score = _near(_matrix(q["v"]), _matrix(v["v"]), ids, k + 1)
         return pa.table({"quid": q["uid"].to_numpy()[r], "uid": ids[c], "score": score})
 
-    keys = ["curve", "block", "chunk"]
+    keys = ["curve", "block", "chunk", "part"]
     found = here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInArrow(compare, "quid long, uid long, score double")
     best = Window.partitionBy("quid").orderBy(F.desc("score"), "uid")
     merged = found.groupBy("quid", "uid").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(best)).where(f"_n <= {k + 1}")

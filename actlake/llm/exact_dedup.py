@@ -41,7 +41,7 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.spark_partition_id().alias("_run"),
         )
     )
-    runs = max(1, docs.rdd.getNumPartitions())
+    runs = (rows.agg(F.max("_run")).first()[0] or 0) + 1
     level = rows.groupBy("_run", *KEY).agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
     levels = [level]
     while runs > 1:
