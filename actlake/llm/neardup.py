@@ -2,12 +2,14 @@
 
 A document's set holds its distinct word shingles. Documents with equal sets are one class. Each class has a MinHash signature,
 sorted in several orders (trees), each of which starts at another place of the signature. Classes whose signatures share a
-long enough prefix in some order form a region; a region with more than ``region_rows`` members is cut by a longer prefix, so
-that the depth adapts to how dense the neighbourhood is, and at the greatest depth by a hash, with a common member for all cuts.
-
-Within a region signatures are compared: first the pairs of a maximum spanning forest are candidates. Candidates are confirmed
-on the full sets and make components. Then every pair of a region across two components that could be a link and has not been
-tested is a candidate too. So no candidate pair is left out, but most of a large group's pairs never need to be made.
+prefix of four places in some order form a region. At first a region with more than ``region_rows`` members is cut by a longer
+prefix, so that the depth adapts to how dense the neighbourhood is, and at the greatest depth by a hash, with a common member for
+all cuts. The pairs of a maximum spanning forest in each of these are candidates, confirmed on the full sets; they make components.
+
+Then every pair of a region of four places, however large, that is in two components, could be a link and has not been tested is
+a candidate too. A crowded region is dealt out as pairs of blocks, each a task of its own; those of its members that are in its
+largest component need not meet each other. So depth only orders the work: no candidate pair is left out, but most of a large
+group's pairs never need to be made.
 """
 
 from __future__ import annotations
@@ -26,12 +28,10 @@ SIGNATURE = TREES * STEP
 DEPTHS = (4, 5, 6, 8, 10, 13, 16)
 REGION_ROWS = 512
 #: Signature places that the quick comparison uses, a byte of each.
-SKETCH = 64
+SKETCH = SIGNATURE
 #: Share of equal bytes below which a pair of the wanted similarity is met with a chance under 1e-5 (4.4 standard deviations).
 MARGIN = 4.4
 MARKS = 1 << 24
-#: Stands for a missing region; no hash is taken to be this.
-NO_REGION = np.iinfo(np.int64).max
 _FACTORS = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
 _A = (mix(np.arange(101, 101 + SIGNATURE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(901, 901 + SIGNATURE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -107,9 +107,10 @@ def _keys(rows: DataFrame, depth: int, trees: bool) -> DataFrame:
     return rows.select("cid", "sig", *([] if trees else ["tree"])).mapInArrow(run, "cid long, tree int, key long")
 
 
-def _regions(classes: DataFrame, region_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(region, cid) of the regions with two members or more, and (a, b) pairs that tie the cuts of regions too dense at every depth."""
-    rows, parts, ties = _keys(classes, DEPTHS[0], True), [], None
+def _regions(classes: DataFrame, region_rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame | None]:
+    """(region, cid) of the regions with two members or more, after crowded ones were cut; (a, b) pairs that tie the cuts of regions
+    too dense at every depth; (region, tree, cid) of the regions that were not crowded, and of those that were, both uncut."""
+    rows, parts, ties, whole, crowded = _keys(classes, DEPTHS[0], True), [], None, None, None
     for level, depth in enumerate(DEPTHS):
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("head")).where("members > 1")
         # the second key makes both sides be dealt out anew, without which Spark could not split a hot region's rows
@@ -118,8 +119,12 @@ def _regions(classes: DataFrame, region_rows: int) -> tuple[DataFrame, DataFrame
         dense = F.col("members") > region_rows
         parts.append(sized.where(~dense).select(F.col("key").alias("region"), "cid"))
         crowd = sized.where(dense)
+        if not level:
+            whole = sized.where(~dense).select(F.col("key").alias("region"), "tree", "cid")
         if not crowd.take(1):
             break
+        if not level:
+            crowded = crowd.select(F.col("key").alias("region"), "tree", "cid")
         if level + 1 == len(DEPTHS):
             slot = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / region_rows))
             parts.append(crowd.select(F.xxhash64("key", slot).alias("region"), "cid"))
@@ -129,50 +134,70 @@ def _regions(classes: DataFrame, region_rows: int) -> tuple[DataFrame, DataFrame
     members = parts[0]
     for p in parts[1:]:
         members = members.unionByName(p)
-    return members, ties
+    return members, ties, whole, crowded
 
 
-def _close(rows: DataFrame, least: int, across: bool) -> DataFrame:
-    """Candidate pairs (a < b) of each region, from rows ``region, cid, sketch`` (and ``comp``).
+def _block_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows of crowded regions (``region, cid, comp`` and others), once for each task (``task, side``) that they are in.
 
-    Without ``across`` the edges of a maximum spanning forest over the pairs with ``least`` equal bytes or more; with it all
-    such pairs of different components, each in the first region that both share.
+    The members in a region's largest component and the others are each cut into blocks. Every pair of blocks is a task, but for
+    those of two blocks of the largest component. ``side`` tells the blocks of a task apart; -1 is a block with itself.
+    """
+    again = F.xxhash64("region").alias("again")
+    sizes = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("region")
+    sizes = sizes.agg(F.sum("size").alias("members"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    sizes = sizes.where("most < members").select(
+        "region", again, "main", F.ceil(F.col("most") / block_rows).alias("main_blocks"), F.ceil((F.col("members") - F.col("most")) / block_rows).alias("other_blocks")
+    )
+    large = F.col("comp") == F.col("main")
+    of = F.xxhash64("cid", "region")
+    block = F.when(large, F.col("other_blocks") + F.pmod(of, "main_blocks")).otherwise(F.pmod(of, "other_blocks"))
+    last = F.when(large, F.col("other_blocks")).otherwise(F.col("other_blocks") + F.col("main_blocks")) - 1
+    dealt = rows.select("*", again).join(sizes, ["region", "again"]).withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    task = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
+    return dealt.select(task.alias("task"), side.alias("side"), *rows.columns)
+
+
+def _close(rows: DataFrame, least: int, percent: int, across: bool) -> DataFrame:
+    """Candidate pairs (a < b) of each task, from rows ``task, cid, n, sketch`` (and ``side, tree, comp, own``).
+
+    A pair has ``least`` equal bytes or more, and set sizes that allow ``percent``. Without ``across`` the edges of a maximum
+    spanning forest over such pairs; with it all of them that are of different components and not of one side, each in the
+    first tree in which both share a region.
     """
 
-    def first_shared(region: np.ndarray, own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether a pair's region is the smallest of those that both members list."""
-        out = np.zeros(len(a), bool)
-        for k in range(0, len(a), 20_000):
-            x, y = own[a[k : k + 20_000]], own[b[k : k + 20_000]]
-            both = np.where((x[:, :, None] == y[:, None, :]).any(2) & (x != NO_REGION), x, NO_REGION)
-            out[k : k + 20_000] = both.min(1) == region[a[k : k + 20_000]]
-        return out
-
-    def pairs(region: np.ndarray, cid: np.ndarray, sketch: np.ndarray, comp: np.ndarray | None, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
-        sizes = np.diff(np.append(starts, len(region)))
+    def pairs(task, cid, n, sketch, side=None, tree=None, comp=None, own=None) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+        sizes = np.diff(np.append(starts, len(task)))
         left, right, same, group = [], [], [], []
         for g in np.unique(sizes[sizes > 1]).tolist():
             of = starts[sizes == g]
             i, j = np.triu_indices(g, 1)
-            per = max(1, 200_000 // len(i))
+            step = min(len(i), 100_000)
+            per = max(1, 100_000 // len(i))
             for k in range(0, len(of), per):
-                a, b = ((of[k : k + per, None] + x[None]).ravel() for x in (i, j))
-                if comp is not None:
-                    wanted = comp[a] != comp[b]
+                for at in range(0, len(i), step):
+                    a, b = ((of[k : k + per, None] + x[None, at : at + step]).ravel() for x in (i, j))
+                    wanted = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+                    if across:
+                        wanted &= (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] < 0))
                     a, b = a[wanted], b[wanted]
-                equal = (sketch[a] == sketch[b]).sum(1)
-                near = equal >= least
-                if own is not None:
-                    near[near] = first_shared(region, own, a[near], b[near])
-                left.append(a[near])
-                right.append(b[near])
-                same.append(equal[near])
-                group.append(region[a[near]])
+                    equal = (sketch[a] == sketch[b]).sum(1)
+                    near = equal >= least
+                    a, b, equal = a[near], b[near], equal[near]
+                    if across:
+                        first = (own[a] == own[b]).argmax(1) == tree[a]
+                        a, b, equal = a[first], b[first], equal[first]
+                    left.append(a)
+                    right.append(b)
+                    same.append(equal)
+                    group.append(task[a])
         if not left:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         a, b, same, group = (np.concatenate(x) for x in (left, right, same, group))
-        if comp is None:
+        if not across:
             order = np.lexsort((cid[b], cid[a], -same, group))
             root, chosen = {}, []
             for k in order.tolist():
@@ -195,23 +220,20 @@ def _close(rows: DataFrame, least: int, across: bool) -> DataFrame:
             if b is not None:
                 if not b.num_rows:
                     continue
-                new = [b["region"].to_numpy(), b["cid"].to_numpy(), np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)]
+                new = [*(b[c].to_numpy() for c in ("task", "cid", "n")), np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)]
                 if across:
-                    own = np.full((b.num_rows, TREES), NO_REGION)
-                    for i, x in enumerate(b["own"].to_pylist()):
-                        own[i, : len(x)] = x
-                    new += [b["comp"].to_numpy(), own]
+                    new += [*(b[c].to_numpy() for c in ("side", "tree", "comp")), np.frombuffer(b"".join(b["own"].to_pylist()), np.uint32).reshape(-1, TREES)]
                 held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
             if not held:
                 continue
-            # the last region may go on in the next batch
+            # the last task may go on in the next batch
             end = int(np.searchsorted(held[0], held[0][-1])) if b is not None else len(held[0])
             if end:
-                a, c = pairs(*(x[:end] for x in held), *(() if across else (None, None)))
+                a, c = pairs(*(x[:end] for x in held))
                 held = [x[end:] for x in held]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
-    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -296,26 +318,34 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, region_rows: int =
     seen = cut(_measured(docs, width))
     digest = ["n", "d1", "d2"]
     classes = cut(seen.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig")))
-    members, ties = _regions(classes, region_rows)
-    sketches = classes.select("cid", "sig")
+    members, ties, whole, crowded = _regions(classes, region_rows)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = np.ascontiguousarray((_signatures(b["sig"])[:, :SKETCH] & np.uint32(255)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([b["cid"], pa.array([r.tobytes() for r in low], pa.binary())], ["cid", "sketch"])
+            sig = _signatures(b["sig"])
+            low = np.ascontiguousarray((sig[:, :SKETCH] & np.uint32(255)).astype(np.uint8))
+            # 32 bits of each tree's region tell whether two classes share it
+            own = np.stack([_prefix(sig, t, DEPTHS[0]).view(np.uint64) >> np.uint64(32) for t in range(TREES)], 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b["cid"], b["n"], *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (low, own))], ["cid", "n", "sketch", "own"])
 
-    members = members.distinct()
-    known = cut(members.join(sketches.mapInArrow(sketched, "cid long, sketch binary"), "cid").select("region", "cid", "sketch"))
+    sketches = cut(classes.select("cid", "n", "sig").mapInArrow(sketched, "cid long, n long, sketch binary, own binary"))
     share = percent / 100
     least = int(np.floor(SKETCH * (share - MARGIN * np.sqrt(share * (1 - share) / SKETCH))))
-    first = _close(known, least, False)
+    first = _close(members.distinct().join(sketches, "cid").select(F.col("region").alias("task"), "cid", "n", "sketch"), least, percent, False)
     first = cut(first.unionByName(ties).distinct() if ties is not None else first)
     sets = cut(_full_sets(docs, first.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), width))
     tested = cut(_confirmed(first, sets, percent))
     joined = components(tested.where("linked"))
-    own = known.groupBy("cid").agg(F.collect_set("region").alias("own"))  # TREES regions at most
-    labelled = known.join(joined, "cid", "left").join(own, "cid").select("region", "cid", "sketch", F.coalesce("comp", "cid").alias("comp"), "own")
-    rest = _close(labelled, least, True).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    labels = cut(sketches.join(joined, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
+    every = whole.join(labels, "cid").select(F.col("region").alias("task"), F.lit(-1).alias("side"), "tree", "cid", "n", "sketch", "comp", "own")
+    if crowded is not None:
+        placed = _block_pairs(crowded.join(labels.select("cid", "comp"), "cid"), max(1, region_rows // 2))
+        every = every.unionByName(placed.drop("region").join(labels.drop("comp"), "cid").select(every.columns))
+    rest = cut(_close(every, least, percent, True).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    # a class that was in no pair before has its set made now
+    lacking = cut(rest.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets.select("cid"), "cid", "left_anti"))
+    if lacking.take(1):
+        sets = sets.unionByName(cut(_full_sets(docs, lacking, width)))
     late = cut(_confirmed(rest, sets, percent)).where("linked").select("a", "b")
     stars = joined.where("cid != comp").select(F.col("comp").alias("a"), F.col("cid").alias("b"))
     final = components(stars.unionByName(late))

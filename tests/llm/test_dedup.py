@@ -61,6 +61,33 @@ def test_groups_equal_brute_force(docs):
         assert all(found[i][0] == n for i, (n, _) in wanted.items())
 
 
+def test_crowded_regions_equal_brute_force(docs):
+    rng, rows = random.Random(11), []
+    for start in range(3):
+        words = [f"c{start}_{k}" for k in range(80)]
+        for _ in range(70):  # each is linked with few others only
+            rows.append((len(rows), " ".join(words)))
+            words[rng.randrange(80)] = f"w{rng.random()}"
+            words[rng.randrange(80)] = f"w{rng.random()}"
+    wanted = {i: c for i, (_, c) in brute(rows, 3).items()}
+    rng.shuffle(rows)
+    # nearly every region is crowded, so that pairs of blocks are compared
+    found = {r.doc_id: r.component_id for r in neardup.group(docs(rows), 3, 80, 2).collect()}
+    assert found == wanted and len(set(wanted.values())) > 1
+
+
+def test_blocks_of_a_crowded_region_meet_but_for_its_largest_component(spark):
+    rows = [(1, k, 0 if k < 9 else k) for k in range(15)]
+    dealt = neardup._block_pairs(spark.createDataFrame(rows, "region long, cid long, comp long"), 2).collect()
+    tasks, met = {}, set()
+    for r in dealt:
+        tasks.setdefault(r.task, []).append(r)
+    for task in tasks.values():
+        met |= {frozenset((x.cid, y.cid)) for x, y in itertools.combinations(task, 2) if x.side != y.side or x.side < 0}
+    assert met >= {frozenset(p) for p in itertools.combinations(range(15), 2) if p[1] >= 9}
+    assert not {frozenset(p) for p in itertools.combinations(range(9), 2)} & met
+
+
 def test_a_hub_joins_its_spokes(docs):
     rng = random.Random(5)
     hub = [f"h{i}" for i in range(200)]
