@@ -2,13 +2,13 @@
 
 After D. Talbot and M. Osborne, Smoothed Bloom filter language models (EMNLP 2007): an n-gram with quantised log count q is entered
 q times, once for each level, and its count is read by probing level after level until one is missing. The filter holds bigram
-counts and, for every context, its kept bigram tokens and types, from which Witten-Bell smoothing follows; it is broadcast, and
-its size is fixed. Bigrams below a cut-off stay out of it; the cut-off follows from the counts of counts of the whole corpus and
-the filter's size, and is 2 at least. Tokens of bigrams that stay out count as new events of their context.
+counts and, for every context, its bigram tokens and types, from which Witten-Bell smoothing follows. Every training bigram is in
+it, so it grows with the corpus; it is cut into segments by ranges of the keys' hashes, each made and probed in its range's task.
 
 Texts are tokenised once, into blocks of documents: a block holds the hashes of its distinct words and its tokens as places in
 that list. Words' exact counts come back to the blocks that asked for them: each block sends its sorted hashes, cut by ranges, to the
-ranges' tasks and gets the counts in the same order. So a word crosses the network once for each block, not for each token.
+ranges' tasks and gets the counts in the same order; levels of bigrams and contexts come back in the same way. So a word crosses
+the network once for each block, not for each token.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from actlake.llm.common import Words, buffers, cut, mix, steps
 BLOCK_BYTES = 12 << 20
 #: Tokens that one range of hashes gets, on average.
 RANGE_TOKENS = 6_000_000
-FILTER_BITS, PROBES = 1 << 28, 4
+PROBES = 4
+#: Share of set bits that a segment is sized for is a half.
+FULL = 0.69
 BIGRAM_BASE, CONTEXT_BASE = 2.0, 1.5
-LEAST_COUNT = 2
 END, START = np.uint64(0xE17D), np.uint64(0x57A7)  # hashes of the marks around a text
 _BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<int>, tokens binary, words binary, counts binary"
 _ZSTD = pa.Codec("zstd")
@@ -178,28 +179,73 @@ def _before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before
 
 
-def bigram_counts(found: DataFrame, ranges: int) -> DataFrame:
-    """(range, keys, counts, seen): the training bigrams of each range that occur ``LEAST_COUNT`` times or more, and the counts of counts."""
+def _merged(items: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The distinct items of all arrays, each item's place among them, and the sums of each value by item."""
+    own, at = np.unique(np.concatenate(items), return_inverse=True)
+    return own, at, *(np.bincount(at, np.concatenate(v), len(own)).astype(np.int64) for v in values)
 
-    def ask(held: list, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
+
+def bigram_levels(found: DataFrame, ranges: int) -> DataFrame:
+    """(block, range, levels, own, tokens, types): the levels of each block's distinct bigrams, in the order of their keys.
+
+    Rows with block -1 have, for a range of contexts, training tokens and types of some of their bigrams.
+    """
+
+    def ask(block: int, held: list, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
         length = np.array(lengths)
         flat = _words(words)[_unpacked(tokens, np.uint32)]
-        train = np.repeat(~np.array([bool(h) for h in held]), length)
-        keys, n = np.unique(pair_keys(_before(flat, length)[train], flat[train]), return_counts=True)
-        at = _cuts(keys, ranges)
-        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        keys, at = np.unique(pair_keys(_before(flat, length), flat), return_inverse=True)
+        n = np.bincount(at[np.repeat(~np.array([bool(h) for h in held]), length)], minlength=len(keys)).astype(np.uint32)
+        ends = _cuts(keys, ranges)
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if a < b:
+                yield block, k, _packed(_gaps(keys[a:b])), _packed(n[a:b])
+
+    def answer(g: dict) -> Iterator[tuple]:
+        asked = [_words(x) for x in g["keys"]]
+        keys, at, total = _merged(asked, [_unpacked(x, np.uint32) for x in g["counts"]])
+        level = _levels_of([(keys, total, BIGRAM_BASE)])[0]
+        for block, held in zip(g["block"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
+            yield block, g["range"][0], _packed(level[held].astype(np.uint8)), b"", b"", b""
+        trained = total > 0
+        own, at = np.unique(contexts_of(keys[trained]), return_inverse=True)
+        tokens, types = np.bincount(at, total[trained], len(own)).astype(np.int64), np.bincount(at, minlength=len(own))
+        ends = _cuts(own << np.uint64(32), ranges)
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if a < b:
-                yield k, _packed(_gaps(keys[a:b])), _packed(n[a:b].astype(np.uint32))
+                yield -1, k, b"", _packed(_gaps(own[a:b])), _packed(tokens[a:b]), _packed(types[a:b])
+
+    asked = _rows(found.select("block", "held", "lengths", "tokens", "words"), ask, "block long, range int, keys binary, counts binary")
+    return _grouped(asked, "range", answer, "block long, range int, levels binary, own binary, tokens binary, types binary")
+
 
-    def merge(g: dict) -> Iterator[tuple]:
-        keys, at = np.unique(np.concatenate([_words(x) for x in g["keys"]]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([_unpacked(x, np.uint32) for x in g["counts"]]), len(keys)).astype(np.int64)
-        kept = total >= LEAST_COUNT
-        seen = np.bincount(np.minimum(np.log2(total).astype(int), 39), minlength=40)
-        yield g["range"][0], _packed(_gaps(keys[kept])), _packed(total[kept]), _packed(seen)
+def _contexts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct contexts of a block, 32 bits each, and the place of every word and of START among them."""
+    return np.unique(np.append(words, START) >> np.uint64(32), return_inverse=True)
 
-    asked = _rows(found.select("held", "lengths", "tokens", "words"), ask, "range int, keys binary, counts binary")
-    return _grouped(asked, "range", merge, "range int, keys binary, counts binary, seen binary")
+
+def context_levels(found: DataFrame, parts: DataFrame, ranges: int) -> DataFrame:
+    """(block, range, tokens, types): the levels of each block's contexts, in their order, from parts ``range, own, tokens, types``."""
+
+    def ask(block: int, words: bytes) -> Iterator[tuple]:
+        own, _ = _contexts(_words(words))
+        ends = _cuts(own << np.uint64(32), ranges)
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if a < b:
+                none = _packed(np.zeros(b - a, np.int64))
+                yield block, k, _packed(_gaps(own[a:b])), none, none
+
+    def answer(g: dict) -> Iterator[tuple]:
+        asked = [_words(x) for x in g["own"]]
+        own, at, *totals = _merged(asked, *([_unpacked(x, np.int64) for x in g[k]] for k in ("tokens", "types")))
+        level = _levels_of([(_context_key(own, k), v, CONTEXT_BASE) for k, v in enumerate(totals)])
+        for block, held in zip(g["block"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
+            if block >= 0:
+                yield block, g["range"][0], *(_packed(x[held].astype(np.uint8)) for x in level)
+
+    schema = "block long, range int, own binary, tokens binary, types binary"
+    asked = _rows(found.select("block", "words"), ask, schema).unionByName(parts.selectExpr("-1L AS block", "range", "own", "tokens", "types"))
+    return _grouped(asked, "range", answer, "block long, range int, tokens binary, types binary")
 
 
 def levels(counts: np.ndarray, base: float, least: int = 1) -> np.ndarray:
@@ -257,50 +303,15 @@ def _context_key(context: np.ndarray, kind: int) -> np.ndarray:
     return (context << np.uint64(32)) | np.uint64(kind)
 
 
-def build(counted: DataFrame, ranges: int, bits: int = FILTER_BITS) -> tuple[Filter, Filter, int]:
-    """Filters of bigrams and of contexts, and the cut-off: the least power of two whose bigrams fill half the bits at most.
+def _levels_of(items: list[tuple[np.ndarray, np.ndarray, float]]) -> list[np.ndarray]:
+    """What a filter sized for all (keys, counts, base) answers for the keys."""
+    entered = [(k, levels(n, base)) for k, n, base in items]
+    size = max(64, int(sum(int(v.sum()) for _, v in entered) * PROBES / FULL) // 8 * 8 + 8)
+    made = Filter(size, np.frombuffer(segment(entered, size), np.uint8).reshape(1, -1))
+    return [made.probe(k) for k, _ in entered]
 
-    The driver gets ``bits`` bits altogether. Three quarters are for bigrams.
-    """
-    seen = sum((_unpacked(r.seen, np.int64) for r in counted.select("seen").toLocalIterator()), np.zeros(40, np.int64))
-    for first in range(1, 40):
-        entries = sum(int(n) * (k - first + 1) for k, n in enumerate(seen) if k >= first)
-        if entries * PROBES <= 0.69 * bits * 3 / 4:
-            break
-    least = 1 << first
-    of_pairs, of_contexts = (max(64, int(bits * share / ranges) // 8 * 8) for share in (0.75, 0.25))
-
-    def pairs(range_: int, keys: bytes, counts: bytes) -> Iterator[tuple]:
-        k, n = _words(keys), _unpacked(counts, np.int64)
-        yield range_, segment([(k, levels(n, BIGRAM_BASE, least))], of_pairs)
-
-    def parts(keys: bytes, counts: bytes) -> Iterator[tuple]:
-        k, n = _words(keys), _unpacked(counts, np.int64)
-        own, at = np.unique(contexts_of(k[n >= least]), return_inverse=True)
-        tokens, types = np.bincount(at, n[n >= least], len(own)).astype(np.int64), np.bincount(at, minlength=len(own))
-        ends = _cuts(own << np.uint64(32), ranges)
-        for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if a < b:
-                yield r, _packed(_gaps(own[a:b])), _packed(tokens[a:b]), _packed(types[a:b])
 
-    def context(g: dict) -> Iterator[tuple]:
-        own, at = np.unique(np.concatenate([_words(x) for x in g["own"]]), return_inverse=True)
-        tokens, types = (np.bincount(at, np.concatenate([_unpacked(x, np.int64) for x in g[k]]), len(own)) for k in ("tokens", "types"))
-        items = [(_context_key(own, k), levels(v, CONTEXT_BASE)) for k, v in enumerate((tokens, types))]
-        yield g["range"][0], segment(items, of_contexts)
-
-    def gather(df: DataFrame, size: int) -> Filter:
-        out = np.zeros((ranges, size // 8), np.uint8)
-        for r in df.toLocalIterator():
-            out[r["range"]] = np.frombuffer(r.bits, np.uint8)
-        return Filter(size, out)
-
-    made = _rows(counted.select("range", "keys", "counts"), pairs, "range int, bits binary")
-    split = _rows(counted.select("keys", "counts"), parts, "range int, own binary, tokens binary, types binary")
-    return gather(made, of_pairs), gather(_grouped(split, "range", context, "range int, bits binary"), of_contexts), least
-
-
-def score(docs: DataFrame, held_out: Column, filter_bits: int = FILTER_BITS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Null and empty texts are one end token; repeated rows each count and are scored each; a row whose fold is unknown (null id) is
@@ -312,30 +323,34 @@ def score(docs: DataFrame, held_out: Column, filter_bits: int = FILTER_BITS) ->
     answers = cut(counts_for_blocks(found, ranges))
     n, v = answers.where("block = -1").agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
-    pairs, contexts, least = build(cut(bigram_counts(found, ranges)), ranges, filter_bits)
-    shared = docs.sparkSession.sparkContext.broadcast((pairs, contexts))  # filter_bits bits, whatever the corpus
+    pairs = cut(bigram_levels(found, ranges))
+    contexts = context_levels(found, pairs.where("block = -1"), ranges)
 
     def scored(block: pa.Table, replies: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
-        by_bigram, by_context = shared.value
-        order = np.argsort(replies["range"].to_numpy())
-        counts = np.concatenate([_unpacked(replies["counts"][int(k)].as_py(), np.int64) for k in order])
+        kinds, at_range = replies["kind"].to_numpy(), replies["range"].to_numpy()
+
+        def reply(kind: int, name: str, of: type) -> np.ndarray:
+            mine = np.flatnonzero(kinds == kind)
+            return np.concatenate([_unpacked(replies[name][int(k)].as_py(), of) for k in mine[np.argsort(at_range[mine])]])
+
+        counts = reply(0, "data", np.int64)
         words, at, length = _words(row["words"]), _unpacked(row["tokens"], np.uint32), np.array(row["lengths"])
         held = np.array([bool(h) for h in row["held"]])
         flat = words[at]
         unigram = (counts + 0.1) / (n + 0.1 * (v + 1))
-        own = np.append(words, START)  # contexts: every word, and the start of a text
         place = np.empty(len(at), np.int64)
         place[1:] = at[:-1]
         place[np.cumsum(length) - length] = len(words)
         # END is no context, so its count stands for that of START: both occur once in a text
         end = np.searchsorted(words, END)
         context_count = np.append(counts, counts[end])
-        high = own >> np.uint64(32)
-        tokens, types = (middle(by_context.probe(_context_key(high, k)), CONTEXT_BASE) for k in (0, 1))
+        _, of_context = _contexts(words)
+        tokens, types = (middle(reply(2, c, np.uint8).astype(np.int64), CONTEXT_BASE)[of_context] for c in ("data", "more"))
         new = np.maximum(context_count - tokens, 0) + types
         weight = np.minimum(tokens, context_count)
-        pair = middle(by_bigram.probe(pair_keys(own[place], flat)), BIGRAM_BASE, least)
+        _, of_pair = np.unique(pair_keys(_before(flat, length), flat), return_inverse=True)
+        pair = middle(reply(1, "data", np.uint8).astype(np.int64), BIGRAM_BASE)[of_pair]
         some = (weight + new)[place]
         chance = np.where(some > 0, (np.minimum(pair, weight[place]) + new[place] * unigram[at]) / np.maximum(some, 1e-9), unigram[at])
         chance = np.maximum(chance, 1e-3 * unigram[at])  # a context whose quantised counts leave nothing for new events
@@ -350,5 +365,8 @@ def score(docs: DataFrame, held_out: Column, filter_bits: int = FILTER_BITS) ->
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    replies = answers.where("block >= 0").select("block", "range", "counts")
+    empty = "CAST(NULL AS BINARY) AS more"
+    replies = answers.where("block >= 0").selectExpr("block", "0 AS kind", "range", "counts AS data", empty)
+    replies = replies.unionByName(pairs.where("block >= 0").selectExpr("block", "1 AS kind", "range", "levels AS data", empty))
+    replies = replies.unionByName(contexts.selectExpr("block", "2 AS kind", "range", "tokens AS data", "types AS more"))
     return found.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored, schema)

@@ -115,6 +115,13 @@ def test_a_repeated_phrase_is_likelier_than_its_words(docs):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_bigrams_seen_once_count(docs):
+    rows = docs([(i, f"a{i} b{i} c{i} d{i}") for i in range(300)]).repartition(3)
+    found = [r for r in lm.score(rows, fold("doc_id", 10) == 0).collect() if not r.held_out]
+    # four of a text's five steps have a chance of about a half each
+    assert len(found) > 200 and all(r.score > r.base_score + 5 for r in found)
+
+
 def test_filter_returns_what_it_holds():
     keys = lm.mix(np.arange(1, 2001, dtype=np.uint64))
     level = np.arange(2000) % 7
