@@ -62,12 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (n + 1) and bytes of an Arrow string array; null texts are empty."""
+    """Offsets (n + 1) and bytes of an Arrow string or binary array; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    binary = pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type)
     if texts.null_count:
-        texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
+        texts = texts.fill_null(b"" if binary else "")
+    texts = texts.cast(pa.large_binary() if binary else pa.large_string())
     if not len(texts):
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)
     _, offsets, data = texts.buffers()

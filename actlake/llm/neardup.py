@@ -2,14 +2,17 @@
 
 A document's set holds its distinct word shingles. Documents with equal sets are one class. Each class has a MinHash signature,
 sorted in several orders (trees), each of which starts at another place of the signature. Classes whose signatures share a
-prefix of four places in some order form a region. At first a region with more than ``region_rows`` members is cut by a longer
-prefix, so that the depth adapts to how dense the neighbourhood is, and at the greatest depth by a hash, with a common member for
-all cuts. The pairs of a maximum spanning forest in each of these are candidates, confirmed on the full sets; they make components.
-
-Then every pair of a region of four places, however large, that is in two components, could be a link and has not been tested is
-a candidate too. A crowded region is dealt out as pairs of blocks, each a task of its own; those of its members that are in its
-largest component need not meet each other. So depth only orders the work: no candidate pair is left out, but most of a large
-group's pairs never need to be made.
+prefix of four places in some order form a region.
+
+First, each tree's regions are range-partitioned and sorted by their rotated signatures, so that a class stands beside those
+with the longest common prefix, however deep the prefixes run where classes are dense. Of the ``NEIGHBOURS`` classes before it
+the one with most equal places is its candidate: at most one pair for each class and tree. These are confirmed on the full sets
+and make components.
+
+Then every pair of a region, however large, that is in two components and could be a link is compared on the full sets. A
+region's classes that have such a pair are sent there with their sets, a crowded region is dealt out as pairs of blocks, and a
+task gives back only the edges of a spanning forest over the links that it finds. So no row is made for a pair, and
+no candidate pair is left out.
 """
 
 from __future__ import annotations
@@ -18,18 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlake.llm.common import Words, buffers, cut, fresh, mix, steps
 
 TREES, STEP = 24, 4
 SIGNATURE = TREES * STEP
-DEPTHS = (4, 5, 6, 8, 10, 13, 16)
-REGION_ROWS = 512
-#: Signature places that the quick comparison uses, a byte of each.
-SKETCH = SIGNATURE
-#: Share of equal bytes below which a pair of the wanted similarity is met with a chance under 1e-5 (4.4 standard deviations).
+#: Places of a signature that the classes of a region share, and those by which they are sorted.
+DEPTH, ORDER = 4, 16
+NEIGHBOURS = 8
+#: Classes and shingles of a block; a crowded region is compared as pairs of blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Standard deviations below the wanted similarity at which the share of equal places rules a pair out: a chance under 1e-5.
 MARGIN = 4.4
 MARKS = 1 << 24
 _FACTORS = mix(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
@@ -80,160 +84,206 @@ def _measured(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column whose values are all ``width`` bytes long, as a matrix."""
+    return buffers(column)[1].reshape(-1, width)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIGNATURE)
+    return _bytes(column, 4 * SIGNATURE).view(np.uint32)
+
+
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest byte of each place."""
+    return np.ascontiguousarray((sig & np.uint32(255)).astype(np.uint8))
 
 
-def _prefix(sig: np.ndarray, tree: np.ndarray | int, depth: int) -> np.ndarray:
-    """Hash of the first ``depth`` places in a tree's order."""
-    h = np.full(len(sig), 0, np.uint64) + np.asarray(tree, np.uint64) + np.uint64(depth << 8)
-    rows = np.arange(len(sig))
-    for k in range(depth):
-        h = mix(h) + sig[rows, (np.asarray(tree) * STEP + k) % SIGNATURE]
+def _prefix(sig: np.ndarray, tree: int) -> np.ndarray:
+    """Hash of the first ``DEPTH`` places in a tree's order."""
+    h = np.full(len(sig), tree + (DEPTH << 8), np.uint64)
+    for k in range(DEPTH):
+        h = mix(h) + sig[:, (tree * STEP + k) % SIGNATURE]
     return mix(h).view(np.int64)
 
 
-def _keys(rows: DataFrame, depth: int, trees: bool) -> DataFrame:
-    """(cid, tree, key) of rows with ``cid, sig`` in all trees, or in the row's own ``tree``."""
+def _regions(classes: DataFrame) -> DataFrame:
+    """(region, tree, cid) of the classes that share their first places with another one in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = _signatures(b["sig"])
-            own = range(TREES) if trees else [b["tree"].to_numpy()]
-            for tree in own:
-                marks = pa.array(np.full(len(sig), tree, np.int32) if trees else tree.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b["cid"], marks, pa.array(_prefix(sig, tree, depth))], ["cid", "tree", "key"])
-
-    return rows.select("cid", "sig", *([] if trees else ["tree"])).mapInArrow(run, "cid long, tree int, key long")
-
-
-def _regions(classes: DataFrame, region_rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame | None]:
-    """(region, cid) of the regions with two members or more, after crowded ones were cut; (a, b) pairs that tie the cuts of regions
-    too dense at every depth; (region, tree, cid) of the regions that were not crowded, and of those that were, both uncut."""
-    rows, parts, ties, whole, crowded = _keys(classes, DEPTHS[0], True), [], None, None, None
-    for level, depth in enumerate(DEPTHS):
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("head")).where("members > 1")
-        # the second key makes both sides be dealt out anew, without which Spark could not split a hot region's rows
-        again = F.xxhash64("key").alias("again")
-        sized = cut(rows.select("*", again).join(sizes.select("*", again), ["key", "again"]).drop("again"))
-        dense = F.col("members") > region_rows
-        parts.append(sized.where(~dense).select(F.col("key").alias("region"), "cid"))
-        crowd = sized.where(dense)
-        if not level:
-            whole = sized.where(~dense).select(F.col("key").alias("region"), "tree", "cid")
-        if not crowd.take(1):
-            break
-        if not level:
-            crowded = crowd.select(F.col("key").alias("region"), "tree", "cid")
-        if level + 1 == len(DEPTHS):
-            slot = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / region_rows))
-            parts.append(crowd.select(F.xxhash64("key", slot).alias("region"), "cid"))
-            ties = crowd.where("cid != head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
-        else:
-            rows = _keys(crowd.select("cid", "tree").join(classes.select("cid", "sig"), "cid"), DEPTHS[level + 1], False)
-    members = parts[0]
-    for p in parts[1:]:
-        members = members.unionByName(p)
-    return members, ties, whole, crowded
-
-
-def _block_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Rows of crowded regions (``region, cid, comp`` and others), once for each task (``task, side``) that they are in.
-
-    The members in a region's largest component and the others are each cut into blocks. Every pair of blocks is a task, but for
-    those of two blocks of the largest component. ``side`` tells the blocks of a task apart; -1 is a block with itself.
+            for tree in range(TREES):
+                marks = pa.array(np.full(len(sig), tree, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(_prefix(sig, tree)), marks, b["cid"]], ["region", "tree", "cid"])
+
+    rows = classes.select("cid", "sig").mapInArrow(run, "region long, tree int, cid long")
+    shared = rows.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("region", _again())
+    return rows.select("*", _again()).join(shared, ["region", "again"]).drop("again")
+
+
+def _again() -> Column:
+    """A second join key: with it both sides are dealt out anew, without which Spark could not split a hot region's rows."""
+    return F.xxhash64("region").alias("again")
+
+
+def _neighbours(members: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
+    """Candidate pairs (a < b): each class of a region and the likeliest of the ``NEIGHBOURS`` before it in the region's order.
+
+    Where a range of the order begins, the classes before it are out of sight; what that leaves out the second pass compares.
+    """
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig, tree = _signatures(b["sig"]), b["tree"].to_numpy()
+            places = (tree[:, None] * STEP + np.arange(DEPTH, ORDER)) % SIGNATURE
+            order = np.take_along_axis(sig, places, 1).astype(">u4")
+            yield pa.RecordBatch.from_arrays([b["region"], _binary(order), b["cid"], b["n"], _binary(_sketch(sig))], ["region", "order", "cid", "n", "sketch"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            new = (*(b[c].to_numpy() for c in ("region", "cid", "n")), _bytes(b["sketch"], SIGNATURE))
+            skip = 0 if held is None else len(held[0])
+            region, cid, n, sketch = new if held is None else (np.concatenate(x) for x in zip(held, new, strict=True))
+            best, most = np.full(len(cid), -1), np.full(len(cid), least - 1)
+            for d in range(1, min(NEIGHBOURS, len(cid) - 1) + 1):
+                equal = (sketch[d:] == sketch[:-d]).sum(1)
+                near = (region[d:] == region[:-d]) & (equal > most[d:]) & (100 * np.minimum(n[d:], n[:-d]) >= percent * np.maximum(n[d:], n[:-d]))
+                at = np.flatnonzero(near) + d
+                best[at], most[at] = at - d, equal[at - d]
+            x = np.flatnonzero(best >= 0)
+            x = x[x >= skip]
+            a, c = cid[best[x]], cid[x]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+            held = tuple(v[-NEIGHBOURS:] for v in (region, cid, n, sketch))
+
+    rows = members.join(classes.select("cid", "n", "sig"), "cid").select("region", "tree", "cid", "n", "sig")
+    rows = rows.mapInArrow(ordered, "region long, order binary, cid long, n long, sketch binary")
+    keys = ["region", "order", "cid"]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(pairs, "a long, b long").distinct()
+
+
+def _tasks(members: DataFrame, labels: DataFrame, block_rows: int) -> DataFrame:
+    """(task, side, tree, cid, comp): members of the regions that hold two components or more, once for each task they are in.
+
+    A region of more than ``block_rows`` classes or ``BLOCK_SHINGLES`` shingles is crowded. The members in its largest component
+    and the others are each cut into blocks; every pair of blocks is a task, but for those of two blocks of the largest
+    component. ``side`` tells the blocks of a task apart; -1 is a block with itself.
     """
-    again = F.xxhash64("region").alias("again")
-    sizes = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("region")
-    sizes = sizes.agg(F.sum("size").alias("members"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    rows = members.join(labels, "cid")
+    sizes = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n")).groupBy("region")
+    large = F.struct("size", "comp")
+    sizes = sizes.agg(F.sum("size").alias("members"), F.max("size").alias("most"), F.sum("n").alias("n"), F.max_by("comp", large).alias("main"), F.max_by("n", large).alias("main_n"))
+    blocks = lambda size, n: F.greatest(F.lit(1), F.ceil(size / block_rows), F.ceil(n / BLOCK_SHINGLES))
     sizes = sizes.where("most < members").select(
-        "region", again, "main", F.ceil(F.col("most") / block_rows).alias("main_blocks"), F.ceil((F.col("members") - F.col("most")) / block_rows).alias("other_blocks")
+        "region",
+        _again(),
+        "main",
+        (blocks(F.col("members"), F.col("n")) > 1).alias("crowded"),
+        blocks(F.col("most"), F.col("main_n")).alias("main_blocks"),
+        blocks(F.col("members") - F.col("most"), F.col("n") - F.col("main_n")).alias("other_blocks"),
     )
-    large = F.col("comp") == F.col("main")
-    of = F.xxhash64("cid", "region")
-    block = F.when(large, F.col("other_blocks") + F.pmod(of, "main_blocks")).otherwise(F.pmod(of, "other_blocks"))
-    last = F.when(large, F.col("other_blocks")).otherwise(F.col("other_blocks") + F.col("main_blocks")) - 1
-    dealt = rows.select("*", again).join(sizes, ["region", "again"]).withColumn("block", block)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    task = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
-    side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
-    return dealt.select(task.alias("task"), side.alias("side"), *rows.columns)
-
-
-def _close(rows: DataFrame, least: int, percent: int, across: bool) -> DataFrame:
-    """Candidate pairs (a < b) of each task, from rows ``task, cid, n, sketch`` (and ``side, tree, comp, own``).
-
-    A pair has ``least`` equal bytes or more, and set sizes that allow ``percent``. Without ``across`` the edges of a maximum
-    spanning forest over such pairs; with it all of them that are of different components and not of one side, each in the
-    first tree in which both share a region.
-    """
+    dealt = rows.select("region", "tree", "cid", "comp", _again()).join(sizes, ["region", "again"])
+    of, in_main = F.xxhash64("cid", "region"), F.col("comp") == F.col("main")
+    block = F.when(in_main, F.col("other_blocks") + F.pmod(of, "main_blocks")).otherwise(F.pmod(of, "other_blocks"))
+    last = F.when(in_main, F.col("other_blocks")).otherwise(F.col("other_blocks") + F.col("main_blocks")) - 1
+    zero = F.lit(0).cast("long")
+    one = F.array(F.struct(zero.alias("own"), zero.alias("other")))
+    many = F.transform(F.sequence(zero, last), lambda k: F.struct(block.alias("own"), k.alias("other")))
+    dealt = dealt.select("region", "tree", "cid", "comp", F.explode(F.when(F.col("crowded"), many).otherwise(one)).alias("at"))
+    own, other = F.col("at.own"), F.col("at.other")
+    side = F.when(own == other, -1).otherwise((own > other).cast("int"))
+    return dealt.select(F.xxhash64("region", F.least(own, other), F.greatest(own, other)).alias("task"), side.alias("side"), "tree", "cid", "comp")
+
+
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each task, from batches in which a task's rows stand together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        task = b["task"].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]]).tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            if held and j > i and held[0]["task"][0].as_py() != task[i]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if j > i:
+                held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class _Task:
+    """The rows of one task, to ask which pairs of them could be links."""
+
+    def __init__(self, rows: pa.Table, least: int, percent: int):
+        self.side, self.tree, self.cid, self.n, self.comp = (rows[c].to_numpy() for c in ("side", "tree", "cid", "n", "comp"))
+        self.sketch, self.own = _bytes(rows["sketch"], SIGNATURE), _bytes(rows["own"], 4 * TREES).view(np.uint32)
+        self.least, self.percent = least, percent
+
+    def after(self, i: int, comp: np.ndarray) -> np.ndarray:
+        """Rows after the i-th that could be linked with it: of another component, of the other side, of a size that allows
+        it, with places enough equal, and in no region together before this tree's."""
+        n = self.n[i + 1 :]
+        wanted = (comp[i + 1 :] != comp[i]) & ((self.side[i + 1 :] != self.side[i]) | (self.side[i] < 0))
+        j = np.flatnonzero(wanted & (100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i]))) + i + 1
+        j = j[(self.sketch[j] == self.sketch[i]).sum(1) >= self.least]
+        return j[(self.own[j] == self.own[i]).argmax(1) == self.tree[i]]
+
+
+def _possible(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """The rows that could be linked with another row of their task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_task(batches):
+            task, keep = _Task(rows, least, percent), np.zeros(rows.num_rows, bool)
+            for i in range(rows.num_rows - 1):
+                j = task.after(i, task.comp)
+                keep[j] = True
+                keep[i] |= len(j) > 0
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).to_batches()
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, rows.schema)
 
-    def pairs(task, cid, n, sketch, side=None, tree=None, comp=None, own=None) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
-        sizes = np.diff(np.append(starts, len(task)))
-        left, right, same, group = [], [], [], []
-        for g in np.unique(sizes[sizes > 1]).tolist():
-            of = starts[sizes == g]
-            i, j = np.triu_indices(g, 1)
-            step = min(len(i), 100_000)
-            per = max(1, 100_000 // len(i))
-            for k in range(0, len(of), per):
-                for at in range(0, len(i), step):
-                    a, b = ((of[k : k + per, None] + x[None, at : at + step]).ravel() for x in (i, j))
-                    wanted = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-                    if across:
-                        wanted &= (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] < 0))
-                    a, b = a[wanted], b[wanted]
-                    equal = (sketch[a] == sketch[b]).sum(1)
-                    near = equal >= least
-                    a, b, equal = a[near], b[near], equal[near]
-                    if across:
-                        first = (own[a] == own[b]).argmax(1) == tree[a]
-                        a, b, equal = a[first], b[first], equal[first]
-                    left.append(a)
-                    right.append(b)
-                    same.append(equal)
-                    group.append(task[a])
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a, b, same, group = (np.concatenate(x) for x in (left, right, same, group))
-        if not across:
-            order = np.lexsort((cid[b], cid[a], -same, group))
-            root, chosen = {}, []
-            for k in order.tolist():
-                x, y = int(a[k]), int(b[k])
-                while root.get(x, x) != x:
-                    root[x] = root.get(root[x], root[x])
-                    x = root[x]
-                while root.get(y, y) != y:
-                    root[y] = root.get(root[y], root[y])
-                    y = root[y]
-                if x != y:
-                    root[y] = x
-                    chosen.append(k)
-            a, b = a[chosen], b[chosen]
-        return np.minimum(cid[a], cid[b]), np.maximum(cid[a], cid[b])
+
+def _forest(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """(a, b): links between rows of a task (with their ``shingles``), enough of them to connect all that its links connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in (*batches, None):
-            if b is not None:
-                if not b.num_rows:
+        for rows in _by_task(batches):
+            task, comp, found = _Task(rows, least, percent), rows["comp"].to_numpy().copy(), []
+            offsets, data = buffers(rows["shingles"])
+            first, every = offsets // 8, np.frombuffer(data, np.uint64)
+            # the task's own numbers of the shingles, so that a class's set can be marked in a table
+            names, every = np.unique(every, return_inverse=True)
+            marked = np.zeros(len(names), bool)
+            for i in range(rows.num_rows - 1):
+                j = task.after(i, comp)
+                if not len(j):
                     continue
-                new = [*(b[c].to_numpy() for c in ("task", "cid", "n")), np.frombuffer(b"".join(b["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)]
-                if across:
-                    new += [*(b[c].to_numpy() for c in ("side", "tree", "comp")), np.frombuffer(b"".join(b["own"].to_pylist()), np.uint32).reshape(-1, TREES)]
-                held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            if not held:
-                continue
-            # the last task may go on in the next batch
-            end = int(np.searchsorted(held[0], held[0][-1])) if b is not None else len(held[0])
-            if end:
-                a, c = pairs(*(x[:end] for x in held))
-                held = [x[end:] for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
-
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long").distinct()
+                own = every[first[i] : first[i + 1]]
+                marked[own] = True
+                for j in np.array_split(j, 1 + int(task.n[j].sum()) // BLOCK_SHINGLES):
+                    ends = np.cumsum(task.n[j])
+                    if not len(j):
+                        continue
+                    flat = np.arange(ends[-1]) + np.repeat(first[j] - ends + task.n[j], task.n[j])
+                    both = np.add.reduceat(marked[every[flat]], ends - task.n[j], dtype=np.int64)
+                    for k in j[100 * both >= percent * (task.n[i] + task.n[j] - both)].tolist():
+                        if comp[k] != comp[i]:
+                            found.append((task.cid[i], task.cid[k]))
+                            comp[comp == comp[k]] = comp[i]
+                marked[own] = False
+            if found:
+                a, c = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -253,20 +303,13 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for b in batches:
             p = b["p"].to_numpy()
             b = b.filter(pa.array((shared.value[p >> 6] >> (p & 63)) & 1 == 1))
-            # the upper 40 bits of a hash are enough within one pair
-            sets = [np.unique(s >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s in shingle_sets(b["text"], width)]
+            sets = [s.tobytes() for s in shingle_sets(b["text"], width)]
             yield pa.RecordBatch.from_arrays([b["cid"], pa.array(sets, pa.binary())], ["cid", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").where("cid IS NOT NULL").withColumn("p", place)
     return rows.mapInArrow(run, "cid long, shingles binary").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def _set(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return raw.view(np.uint64).ravel()
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) of every pair: whether the shared shingles are ``percent`` of all or more."""
 
@@ -274,7 +317,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             linked = []
             for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = _set(x.as_py()), _set(y.as_py())
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = 0
                 if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
                     merged = np.sort(np.concatenate([x, y]), kind="stable")
@@ -308,45 +351,41 @@ def components(links: DataFrame) -> DataFrame:
         links = cut(small.unionByName(floor.select("u", F.col("m").alias("v"))).distinct())
 
 
-def group(docs: DataFrame, width: int = 5, percent: int = 80, region_rows: int = REGION_ROWS) -> DataFrame:
+def group(docs: DataFrame, width: int = 5, percent: int = 80, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Null and empty texts and texts of white space have no shingle and are linked with nothing; equal texts are linked; of repeated
     rows with one id all are kept or none; a null id is linked with nothing (component_id null, kept); an empty table gives an
-    empty one; other columns are not read.
+    empty one; other columns are not read. Sets are compared by 64-bit hashes of their shingles; sets count as equal by their
+    size and two 64-bit sums.
     """
     seen = cut(_measured(docs, width))
     digest = ["n", "d1", "d2"]
     classes = cut(seen.where("n > 0 AND doc_id IS NOT NULL").groupBy(*digest).agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig")))
-    members, ties, whole, crowded = _regions(classes, region_rows)
+    share = percent / 100
+    least = int(np.floor(SIGNATURE * (share - MARGIN * np.sqrt(share * (1 - share) / SIGNATURE))))
+    members = cut(_regions(classes))
+    first = cut(_neighbours(members, classes, least, percent))
+    sets = cut(_full_sets(docs, first.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), width))
+    linked = cut(_confirmed(first, sets, percent).where("linked").select("a", "b"))
+    joined = components(linked)
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig = _signatures(b["sig"])
-            low = np.ascontiguousarray((sig[:, :SKETCH] & np.uint32(255)).astype(np.uint8))
             # 32 bits of each tree's region tell whether two classes share it
-            own = np.stack([_prefix(sig, t, DEPTHS[0]).view(np.uint64) >> np.uint64(32) for t in range(TREES)], 1).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b["cid"], b["n"], *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (low, own))], ["cid", "n", "sketch", "own"])
+            own = np.stack([_prefix(sig, t).view(np.uint64) >> np.uint64(32) for t in range(TREES)], 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([b["cid"], b["n"], _binary(_sketch(sig)), _binary(own)], ["cid", "n", "sketch", "own"])
 
-    sketches = cut(classes.select("cid", "n", "sig").mapInArrow(sketched, "cid long, n long, sketch binary, own binary"))
-    share = percent / 100
-    least = int(np.floor(SKETCH * (share - MARGIN * np.sqrt(share * (1 - share) / SKETCH))))
-    first = _close(members.distinct().join(sketches, "cid").select(F.col("region").alias("task"), "cid", "n", "sketch"), least, percent, False)
-    first = cut(first.unionByName(ties).distinct() if ties is not None else first)
-    sets = cut(_full_sets(docs, first.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), width))
-    tested = cut(_confirmed(first, sets, percent))
-    joined = components(tested.where("linked"))
-    labels = cut(sketches.join(joined, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
-    every = whole.join(labels, "cid").select(F.col("region").alias("task"), F.lit(-1).alias("side"), "tree", "cid", "n", "sketch", "comp", "own")
-    if crowded is not None:
-        placed = _block_pairs(crowded.join(labels.select("cid", "comp"), "cid"), max(1, region_rows // 2))
-        every = every.unionByName(placed.drop("region").join(labels.drop("comp"), "cid").select(every.columns))
-    rest = cut(_close(every, least, percent, True).join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    labels = cut(classes.select("cid", "n").join(joined, "cid", "left").withColumn("comp", F.coalesce("comp", "cid")))
+    tasks = cut(_tasks(members, labels, block_rows))
+    sketches = classes.select("cid", "n", "sig").mapInArrow(sketched, "cid long, n long, sketch binary, own binary")
+    rest = cut(_possible(tasks.join(sketches, "cid"), least, percent))
     # a class that was in no pair before has its set made now
-    lacking = cut(rest.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets.select("cid"), "cid", "left_anti"))
+    lacking = cut(rest.select("cid").distinct().join(sets.select("cid"), "cid", "left_anti"))
     if lacking.take(1):
         sets = sets.unionByName(cut(_full_sets(docs, lacking, width)))
-    late = cut(_confirmed(rest, sets, percent)).where("linked").select("a", "b")
+    late = cut(_forest(rest.join(sets, "cid"), least, percent))
     stars = joined.where("cid != comp").select(F.col("comp").alias("a"), F.col("cid").alias("b"))
     final = components(stars.unionByName(late))
     labels = classes.select(*digest, "cid").join(final, "cid", "left").select(*digest, F.coalesce("comp", "cid").alias("comp"))

@@ -1,6 +1,9 @@
 import itertools
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from actlake.llm import exact_dedup, neardup
 
 
@@ -40,6 +43,23 @@ def brute(rows, width, percent=80):
     return {i: (len(sets[i]), comp[i]) for i in sets}
 
 
+def exact_components(rows, width, percent=80):
+    """As ``brute``, by one matrix of all shared shingles."""
+    sets = [{tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (t.lower().split() for _, t in rows)]
+    place = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    marks = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        marks[i, [place[x] for x in s]] = 1
+    n, both = marks.sum(1), marks @ marks.T
+    linked = 100 * both >= percent * (n[:, None] + n[None] - both)
+    comp = np.arange(len(sets))
+    while True:
+        least = np.where(linked, comp[None], len(sets)).min(1)
+        if (least == comp).all():
+            return {i: (len(s), rows[c][0]) for (i, _), s, c in zip(rows, sets, comp.tolist(), strict=True)}
+        comp = least
+
+
 def edited(words, n, rng):
     words = list(words)
     for _ in range(n):
@@ -53,12 +73,9 @@ def test_groups_equal_brute_force(docs):
     for base in bases:
         rows += [(len(rows) + i, edited(base, rng.randrange(0, max(2, len(base) // 25)), rng)) for i in range(45)]
     rows += [(1000, "a b c"), (1001, "A b  c"), (1002, "a b"), (1003, ""), (1004, None)]
-    for width, region_rows, share in ((5, 512, 1.0), (4, 16, 0.97)):
-        found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(docs(rows), width, 80, region_rows).collect()}
-        wanted = brute(rows, width)
-        # where regions are cut deeper (far below the usual bound here), a document's only link may be missed
-        assert sum(found[i] == wanted[i] for i in wanted) >= share * len(wanted)
-        assert all(found[i][0] == n for i, (n, _) in wanted.items())
+    for width, block_rows in ((5, 1024), (4, 16)):
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(docs(rows), width, 80, block_rows).collect()}
+        assert found == brute(rows, width)
 
 
 def test_crowded_regions_equal_brute_force(docs):
@@ -77,15 +94,26 @@ def test_crowded_regions_equal_brute_force(docs):
 
 
 def test_blocks_of_a_crowded_region_meet_but_for_its_largest_component(spark):
-    rows = [(1, k, 0 if k < 9 else k) for k in range(15)]
-    dealt = neardup._block_pairs(spark.createDataFrame(rows, "region long, cid long, comp long"), 2).collect()
+    members = spark.createDataFrame([(1, 0, k) for k in range(15)], "region long, tree int, cid long")
+    labels = spark.createDataFrame([(k, 30, 0 if k < 9 else k) for k in range(15)], "cid long, n long, comp long")
     tasks, met = {}, set()
-    for r in dealt:
+    for r in neardup._tasks(members, labels, 2).collect():
         tasks.setdefault(r.task, []).append(r)
     for task in tasks.values():
         met |= {frozenset((x.cid, y.cid)) for x, y in itertools.combinations(task, 2) if x.side != y.side or x.side < 0}
     assert met >= {frozenset(p) for p in itertools.combinations(range(15), 2) if p[1] >= 9}
     assert not {frozenset(p) for p in itertools.combinations(range(9), 2)} & met
+    assert neardup._tasks(members, labels.withColumn("comp", F.lit(0)), 2).count() == 0
+
+
+def test_a_dense_group_equals_brute_force(docs):
+    # 2,000 near copies of one text, many of them near the bound with each other but linked with few
+    rng = random.Random(17)
+    base = [f"d{k}" for k in range(60)]
+    rows = [(i, edited(base, rng.randrange(1, 4), rng)) for i in range(2000)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.group(docs(rows), 4).collect()}
+    wanted = exact_components(rows, 4)
+    assert found == wanted and 1 < len({c for _, c in wanted.values()}) < 2000
 
 
 def test_a_hub_joins_its_spokes(docs):
