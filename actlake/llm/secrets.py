@@ -9,6 +9,7 @@ bounded sample of documents. The driver gets the two tables of bigram counts (at
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,27 +30,45 @@ MIN_BITS = 16.0
 SAMPLE_DOCUMENTS = 3000
 _WIDTH = 95
 MASK = "[SECRET]"
+#: Beyond every place of a text, and the code points that a text is cut into to be masked.
+_FAR, _BLOCK = 2**31 - 1, 1024
+_MOST, _LEAST = (lambda a, b: F.greatest(a, b)), (lambda a, b: F.least(a, b))
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column], neutral: int) -> Column:
+    """``op`` over each element and all before it, in as many passes as the array's length has bits."""
+
+    def passes(v: Column, n: Column) -> Column:
+        def once(done: Column, k: Column) -> Column:
+            step = F.pow(F.lit(2), k).cast("int")
+            before = lambda x: F.concat(F.array_repeat(F.lit(neutral), x), F.slice(done, F.lit(1), n - x))
+            return F.when(step < n, F.zip_with(done, before(step), op)).otherwise(done)
+
+        return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int")), v, once)
+
+    return _let(values, lambda v: passes(v, F.size(v)))
+
+
 def _hits(text: Column, pattern: str, rank: int, keep=lambda hit: F.lit(True)) -> Column:
     """Leftmost non-overlapping matches that ``keep`` holds for, as (start, rank, end) in code points, end exclusive.
 
-    The pieces between the matches give the positions: a match starts where the pieces and matches before it end.
+    The pieces between the matches give the positions: a match ends where the pieces and matches up to it end.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    after = F.aggregate(  # running sums: the i-th is the end of match i - 1
-        F.zip_with(F.slice(gaps, 1, F.size(hits)), F.transform(hits, F.length), lambda a, b: a + b),
-        F.array(F.lit(0)),
-        lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)),
-    )
-    spans = F.transform(
-        hits,
-        lambda h, i: F.struct((F.element_at(after, i + 2) - F.length(h)).alias("start"), F.lit(rank).alias("rank"), F.element_at(after, i + 2).alias("end"), h.alias("hit")),
-    )
-    named = F.transform(F.filter(spans, lambda s: keep(s["hit"])), lambda s: F.struct(s["start"], s["rank"], s["end"]))
-    return F.when(text.rlike(pattern), named).otherwise(F.array().cast(SPAN))
+
+    def spans(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        ends = _running(F.zip_with(gaps, hits, lambda g, h: F.length(g) + F.length(h)), lambda a, b: a + b, 0)
+        named = F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), F.lit(rank).alias("rank"), e.alias("end"), h.alias("hit")))
+        return F.transform(F.filter(named, lambda s: keep(s["hit"])), lambda s: F.struct(s["start"], s["rank"], s["end"])).cast(SPAN)
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(found, lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(F.array().cast(SPAN)))
 
 
 def base_spans(text: Column) -> Column:
@@ -104,18 +123,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def ratio(hit: Column, model: list[float]) -> Column:
     """Log-likelihood ratio of a string of printable ASCII, in bits."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded into one literal
-    code = lambda i: F.ascii(F.substring(hit, i, F.lit(1))) - 32
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(hit) - 1),
-        F.lit(0.0),
-        lambda total, i: total + F.element_at(table, (code(i) * _WIDTH + code(i + 1) + 1).cast("int")),
-    )
+    codes = F.transform(F.split(hit, ""), lambda c: F.ascii(c) - 32)
+    places = _let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: a * _WIDTH + b + 1))
+    return F.aggregate(places, F.lit(0.0), lambda total, k: total + F.element_at(table, k))
 
 
 def added_spans(text: Column, base: Column, model: list[float], min_bits: float = MIN_BITS) -> Column:
     """Spans that only the Markov models find: candidates clear of all base spans with a ratio of ``min_bits`` or more."""
-    found = _hits(text, CANDIDATE, 3, lambda hit: ratio(hit, model) >= min_bits)
-    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    def clear(spans: Column) -> Column:
+        # a base span that starts no later reaches into a span if it ends within it; one that starts later if it starts within it
+        is_base = lambda s: s["rank"] < len(KINDS) - 1
+        ends = _running(F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(0)), _MOST, 0)
+        starts = F.transform(F.reverse(spans), lambda s: F.when(is_base(s), s["start"]).otherwise(_FAR))
+        next_start = F.reverse(_running(starts, _LEAST, _FAR))
+        free = F.zip_with(spans, F.arrays_zip(ends.alias("end"), next_start.alias("start")), lambda s, near: F.struct(s.alias("s"), ((near["end"] <= s["start"]) & (near["start"] >= s["end"])).alias("free")))
+        return F.transform(F.filter(free, lambda x: x["free"] & ~is_base(x["s"])), lambda x: x["s"])
+
+    found = _hits(text, CANDIDATE, len(KINDS) - 1, lambda hit: ratio(hit, model) >= min_bits)
+    return _let(found, lambda new: F.when((F.size(new) > 0) & (F.size(base) > 0), _let(F.array_sort(F.concat(base, new)), clear)).otherwise(new))
 
 
 def find(docs: DataFrame, model: list[float], text_col: str = "text", base_col: str = "_base", all_col: str = "_spans") -> DataFrame:
@@ -132,19 +158,23 @@ def written(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """Text with every stretch that spans cover replaced by ``mask``; spans that overlap share one mask."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-            .alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """Text with every stretch that the sorted spans cover replaced by ``mask``; spans that overlap share one mask."""
+
+    def assembled(blocks: Column, ends: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            """Code points from start to end; only the blocks that hold them are looked through."""
+            first = F.floor(start / _BLOCK).cast("int")
+            own = F.slice(blocks, first + 1, F.floor(end / _BLOCK).cast("int") - first + 1)
+            return F.substring(F.array_join(own, ""), start - first * _BLOCK + 1, end - start)
+
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
+        gaps = F.filter(F.zip_with(spans, before, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start"))), lambda g: g["start"] >= g["at"])
+        kept = F.transform(gaps, lambda g: F.concat(piece(g["at"], g["start"]), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), piece(F.element_at(ends, -1), F.length(text)))
+
+    ends = _running(F.transform(spans, lambda s: s["end"]), _MOST, 0)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(blocks, lambda b: _let(ends, lambda e: assembled(b, e)))).otherwise(text)
 
 
 def report(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

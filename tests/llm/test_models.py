@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -30,16 +31,55 @@ def tables(spark):
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
+def plain_spans(text, model):
+    """The fixed patterns' spans, and all spans."""
+    base = sorted((m.start(), k, m.end()) for k, (p, fits) in enumerate(BASE) for m in p.finditer(text) if fits(m))
+    bits = lambda hit: sum(model[(ord(x) - 32) * 95 + ord(y) - 32] for x, y in zip(hit, hit[1:]))
+    new = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text)]
+    new = [n for n in new if not any(b[0] < n[2] and n[0] < b[2] for b in base) and bits(text[n[0] : n[2]]) >= secrets.MIN_BITS]
+    return base, sorted(base + new)
+
+
+def said(spans):
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def plain_mask(text, spans):
+    at, out = 0, ""
+    for start, _, end in spans:
+        if start >= at:
+            out += text[at:start] + secrets.MASK
+        at = max(at, end)
+    return out + text[at:]
+
+
 def test_secrets_equal_plain_matching(docs, tables):
-    rows = docs(list(enumerate(TEXTS)))
     model = secrets.train(tables[0])
-    for r in secrets.report(rows, model).collect():
-        text = TEXTS[r.doc_id] or ""
-        spans = sorted((m.start(), k, m.end()) for k, (p, fits) in enumerate(BASE) for m in p.finditer(text) if fits(m))
-        said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
-        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and set(said.split(",")) - {""} <= set(r.spans.split(","))
-        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in spans) for i in range(3)]
-        assert (f"markov:{text.find(RANDOM)}:" in r.spans) == (RANDOM in text)
+    for rows in (docs(list(enumerate(TEXTS))), tables[0]):
+        texts = {r.doc_id: r.text for r in rows.collect()}
+        masked = {r.doc_id: r.text for r in secrets.mask(rows, model).collect()}
+        found = secrets.report(rows, model).collect()
+        assert len(found) == len(texts)
+        for r in found:
+            text = texts[r.doc_id] or ""
+            base, spans = plain_spans(text, model)
+            assert r.base_sha256 == hashlib.sha256(said(base).encode()).hexdigest() and r.spans == said(spans)
+            assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+            assert (f"markov:{text.find(RANDOM)}:" in r.spans) == (RANDOM in text)
+            assert masked[r.doc_id] == (plain_mask(text, spans) if spans else texts[r.doc_id])
+
+
+def test_ten_thousand_secrets_in_one_text(docs, tables):
+    model = secrets.train(tables[0])
+    text = "".join(f'é𝒳 token: "abcdef{k:06d}" {k:032x} {hashlib.sha1(str(k).encode()).hexdigest()[:20].upper()}x ' for k in range(5000))
+    rows = docs([(1, text), (2, "x" * 200_000)])
+    began = time.time()
+    found = {r.doc_id: r.spans for r in secrets.report(rows, model).collect()}
+    masked = secrets.mask(rows, model).where("doc_id = 1").first().text
+    took = time.time() - began
+    base, spans = plain_spans(text, model)
+    assert found[1] == said(spans) and len(base) >= 10_000 and masked == plain_mask(text, spans)
+    assert took < 20  # two jobs
 
 
 def test_masks_cover_the_secrets(docs, odd, tables):
