@@ -1,14 +1,16 @@
 """Exact de-duplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
-Each input partition is a run: its digests, each with the smallest document id and a count. Runs merge in rounds, ``fan_in`` at
-a time (binomial numbering: run r merges into r >> bits), so that at every level a digest occurs at most ``fan_in`` times under
-one key, however many copies a text has. The way down hands each run the smallest id and the size of the whole group.
+Each input partition is a run: its distinct digests, each with the smallest document id and a count. Runs merge in rounds,
+``fan_in`` at a time (binomial numbering: run r merges into r >> bits). In a round Spark sorts what meets by run, digest and id,
+and one pass over that order keeps the first row of each digest, which has its smallest id; so at every level a digest occurs at
+most ``fan_in`` times under one key, however many copies a text has. The way down hands each run the smallest id and the size of
+the whole group.
 A digest counts as verified by a second hash and the length of the text, which travel with it as part of the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actlake.llm.common import cut, fresh
@@ -24,6 +26,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """Runs merged in sorted order: each digest of a run once, with its smallest id (null only if all are) and its whole size."""
+    order = Window.partitionBy("_run", *KEY).orderBy(F.col("_keep").asc_nulls_last())
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size, place = F.sum("_size").over(whole).alias("_size"), F.row_number().over(order).alias("_place")
+    return runs.select("_run", *KEY, "_keep", size, place).where("_place = 1").drop("_place")
+
+
 def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in_bits: int = 4) -> DataFrame:
     """One row per input row: id, keep_id (smallest id with an equal text), group_size, kept, text_sha256.
 
@@ -46,11 +56,7 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     levels = [level]
     while runs > 1:
         runs = -(-runs // (1 << fan_in_bits))
-        level = (
-            level.withColumn("_run", F.shiftright("_run", fan_in_bits))
-            .groupBy("_run", *KEY)
-            .agg(F.min("_keep").alias("_keep"), F.sum("_size").alias("_size"))
-        )
+        level = _merged(level.withColumn("_run", F.shiftright("_run", fan_in_bits)))
         levels.append(level)
     found = levels.pop()
     while levels:
