@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -240,16 +241,21 @@ def number_variants(number: Column) -> Column:
     return F.array_distinct(F.array(base, no_dots, F.when(no_zeros == "", no_dots).otherwise(no_zeros)))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def citation_target(text: Column) -> Column:
     """(tipo, sigla, numero) of a citation, null where it doesn't read as one."""
-    pattern = r"^(.+?)\s+n[ºo°]\s*(.+)$"
-    prefix, number = F.lower(F.trim(F.regexp_extract(text, pattern, 1))), F.trim(F.regexp_extract(text, pattern, 2))
-    kind, rest = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for word, label in reversed(V.CITED_KINDS.items()):
-        hit = F.startswith(prefix, F.lit(word))
-        kind, rest = F.when(hit, label).otherwise(kind), F.when(hit, F.substring(prefix, len(word) + 1, 1000)).otherwise(rest)
-    issuer = F.upper(F.regexp_replace(rest, "^[ /.,]+|[ /.,]+$", ""))
-    return F.when(text.rlike(pattern) & kind.isNotNull(), F.struct(kind.alias("tipo"), issuer.alias("sigla"), number.alias("numero")))
+    part = lambda k: F.trim(F.regexp_extract(text, r"^(.+?)\s+n[ºo°]\s*(.+)$", k))
+
+    def target(prefix: Column, word: Column) -> Column:
+        issuer = F.upper(F.regexp_replace(F.substring(prefix, F.length(word) + 1, F.length(prefix)), "^[ /.,]+|[ /.,]+$", ""))
+        return F.when(word != "", F.struct(lookup(V.CITED_KINDS, word).alias("tipo"), issuer.alias("sigla"), part(2).alias("numero")))
+
+    first = lambda prefix: F.regexp_extract(prefix, f"^({'|'.join(V.CITED_KINDS)})", 1)
+    return once(F.lower(part(1)), lambda prefix: once(first(prefix), lambda word: target(prefix, word)))
 
 
 def is_external(text: Column) -> Column:
@@ -306,8 +312,8 @@ def query_tokens(query: str) -> list[str]:
 def has_prefixes(text: Column, tokens: list[str]) -> Column:
     """Every token begins some word of the text, whatever the case and accents."""
     words = F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
-    begins = lambda t: F.exists(words, lambda w: F.startswith(w, fold(F.lit(t))))
-    return reduce(lambda a, b: a & b, map(begins, tokens))
+    begins = lambda ws, t: F.exists(ws, lambda w: F.startswith(w, fold(F.lit(t))))
+    return once(words, lambda ws: reduce(lambda a, b: a & b, [begins(ws, t) for t in tokens]))
 
 
 def safe_url(url: Column) -> Column:

@@ -296,7 +296,7 @@ def current_holders(roles: DataFrame, acts: DataFrame, registrations: DataFrame)
     """(cargo, unidade, unidade_chave, nome, siape, desde, ato_id): who was appointed on the latest date of each unit's office.
 
     An appointment wins over a dismissal of the same date; a later dismissal leaves the office vacant. One person holds one
-    office, the latest. Each pass is a window that Spark limits before the shuffle.
+    office, the latest. Each pass is a window that Spark limits before the shuffle. By unit, then office.
     """
     dated = roles.join(acts.select(F.col("id").alias("ato_id"), F.col("data_ato").alias("desde")), "ato_id")
     named = last_events(dated, ["unidade_chave", "cargo"], "desde").where("acao = 'designar'")
@@ -304,7 +304,7 @@ def current_holders(roles: DataFrame, acts: DataFrame, registrations: DataFrame)
     named = named.join(people, ["ato_id", "siape"], "left").withColumn("nome", F.coalesce(T.filled(F.col("nome")), F.col("_nome")))
     first = Window.partitionBy("unidade_chave", F.lower("cargo")).orderBy("unidade", "cargo", F.desc("ato_id"), "siape")
     posts = named.withColumn("_p", F.row_number().over(first)).where("_p = 1")
-    return latest_per_person(posts, "siape", "desde", ["unidade", "cargo", "ato_id"]).select("cargo", "unidade", "unidade_chave", "nome", "siape", "desde", "ato_id")
+    return latest_per_person(posts, "siape", "desde", ["unidade", "cargo", "ato_id"]).select("cargo", "unidade", "unidade_chave", "nome", "siape", "desde", "ato_id").orderBy("unidade", "cargo", "ato_id")
 
 
 def latest_per_person(posts: DataFrame, person: str, date: str, ties: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actlake.functions import text as T
@@ -14,33 +14,59 @@ def resolve_citations(acts: DataFrame, relations: DataFrame, self_links: bool =
     ``acts``: id, tipo, sigla, numero, data_ato. A citation of an external agency is 'externo', one that doesn't read as an act is
     'sem_parse'. Otherwise candidates are acts of its kind whose number is one of its variants, not newer than the citing act
     (undated ones pass): none is 'nao_encontrado', one is 'ok'; of several exactly one must be of the cited issuer, else 'ambiguo'.
-    Each citation becomes at most three rows, which meet the acts in one equi-join; counting what matches is a partial aggregate.
+    Acts and distinct citations of a kind and number are put in one order by date, in which running counts tell each citation
+    how many acts it may mean and which; nothing is made for a pair of a citation and an act.
     """
     text = F.col("ato_destino_texto")
-    origin = acts.select(F.col("id").alias("ato_id"), F.col("data_ato").alias("_origem"))
-    rows = relations.where(F.coalesce(text, F.lit("")) != "").join(origin, "ato_id")
-    rows = rows.withColumns({"_externo": T.is_external(text), "_alvo": T.citation_target(text)})
-    cited = rows.where("NOT _externo AND _alvo IS NOT NULL").select(
-        "rel_id", "ato_id", "_origem", F.col("_alvo.tipo").alias("tipo"), T.without_institution(F.col("_alvo.sigla")).alias("_sigla"), F.explode(T.number_variants(F.col("_alvo.numero"))).alias("numero")
-    )
-    found = acts.select(F.col("id").alias("_id"), "tipo", "numero", F.col("data_ato").alias("_data"), T.without_institution(F.col("sigla")).alias("_cand"))
-    guard = F.col("_origem").isNull() | F.col("_data").isNull() | (F.col("_data") <= F.col("_origem"))
-    pairs = cited.join(found, ["tipo", "numero"]).where(guard)
-    if not self_links:
-        pairs = pairs.where("_id != ato_id")
-    same = (F.col("_sigla") != "") & (F.col("_cand") == F.col("_sigla"))
+    acts = acts.select("id", "tipo", "numero", "data_ato", T.without_institution(F.col("sigla")).alias("_sigla"))
+    origin = acts.select(F.col("id").alias("ato_id"), F.col("data_ato").alias("_origem"), F.struct("tipo", "numero").alias("_own"), F.col("_sigla").alias("_own_sigla"))
+    rows = relations.where(F.coalesce(text, F.lit("")) != "").select("rel_id", "ato_id", T.is_external(text).alias("_externo"), T.citation_target(text).alias("_alvo"))
+    numbers = F.when(~F.col("_externo") & F.col("_alvo").isNotNull(), T.number_variants(F.col("_alvo.numero")))
+    cited = rows.select("rel_id", "ato_id", "_externo", F.col("_alvo").isNull().alias("_sem_parse"), F.col("_alvo.tipo").alias("tipo"), T.without_institution(F.col("_alvo.sigla")).alias("_sigla"), F.explode_outer(numbers).alias("numero"))
+    cited = cited.join(origin, "ato_id")
+    found = _possible_acts(acts, cited.where("numero IS NOT NULL").select("tipo", "numero", "_sigla", "_origem").distinct())
+    match = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("tipo", "numero", "_sigla", "_origem")]
+    met = cited.alias("c").join(found.alias("f"), match, "left")
     # an act has one number, so no two variants of a citation meet the same act
-    best = pairs.groupBy("rel_id").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("only"), F.count_if(same).alias("n_same"), F.max(F.when(same, F.col("_id"))).alias("same"))
-    joined = rows.select("rel_id", "_externo", "_alvo").join(best, "rel_id", "left")
-    target = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_same") == 1, F.col("same"))
+    own = F.lit(0) if self_links else F.coalesce(F.col("c._own") == F.struct("c.tipo", "c.numero"), F.lit(False)).cast("int")
+    own_same = own * F.coalesce((F.col("c._sigla") != "") & (F.col("_own_sigla") == F.col("c._sigla")), F.lit(False)).cast("int")
+    best = met.groupBy("rel_id", "ato_id").agg(
+        F.first("_externo").alias("_externo"), F.first("_sem_parse").alias("_sem_parse"),
+        F.coalesce(F.sum(F.col("n") - own), F.lit(0)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.coalesce(F.sum(F.col("n_same") - own_same), F.lit(0)).alias("n_same"), F.min("same_low").alias("same_low"), F.max("same_high").alias("same_high"),
+    )
+    # one act is left: the largest id, but for a citing act that doesn't count itself
+    one = lambda low, high: F.col(high) if self_links else F.when(F.col(high) == F.col("ato_id"), F.col(low)).otherwise(F.col(high))
+    target = F.when(F.col("n") == 1, one("low", "high")).when(F.col("n_same") == 1, one("same_low", "same_high"))
     outcome = (
         F.when(F.col("_externo"), "externo")
-        .when(F.col("_alvo").isNull(), "sem_parse")
-        .when(F.col("n").isNull(), "nao_encontrado")
+        .when(F.col("_sem_parse"), "sem_parse")
+        .when(F.col("n") == 0, "nao_encontrado")
         .when(target.isNotNull(), "ok")
         .otherwise("ambiguo")
     )
-    return joined.select("rel_id", outcome.alias("desfecho"), target.alias("ato_destino_id"))
+    return best.select("rel_id", outcome.alias("desfecho"), target.alias("ato_destino_id"))
+
+
+def _possible_acts(acts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (tipo, numero, _sigla, _origem) with the number and the least and largest id of the acts that each may mean, and
+    of those of its issuer.
+
+    Acts without a date come first, citations without one last; of one date acts come first. Acts are counted by date and issuer
+    before they are shuffled, so even a kind and number that very many acts have makes few rows here.
+    """
+    known = acts.groupBy("tipo", "numero", "_sigla", F.col("data_ato").alias("_d")).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("i"), F.max("id").alias("j"))
+    known = known.withColumns({"_part": F.col("_d").isNotNull().cast("int"), "_ask": F.lit(0)})
+    asked = asked.withColumnRenamed("_origem", "_d").withColumns({"_part": F.when(F.col("_d").isNull(), 2).otherwise(1), "_ask": F.lit(1)})
+    rows = known.unionByName(asked, allowMissingColumns=True)
+    so_far = lambda *by: Window.partitionBy(*by).orderBy("_part", "_d", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every, same = so_far("tipo", "numero"), so_far("tipo", "numero", "_sigla")
+    issued = F.col("_sigla") != ""
+    rows = rows.select(
+        "tipo", "numero", "_sigla", F.col("_d").alias("_origem"), "_ask", F.coalesce(F.sum("c").over(every), F.lit(0)).alias("n"), F.min("i").over(every).alias("low"), F.max("j").over(every).alias("high"),
+        F.when(issued, F.sum("c").over(same)).alias("n_same"), F.when(issued, F.min("i").over(same)).alias("same_low"), F.when(issued, F.max("j").over(same)).alias("same_high"),
+    )
+    return rows.where("_ask = 1").drop("_ask").withColumn("n_same", F.coalesce("n_same", F.lit(0)))
 
 
 def outcome_counts(resolved: DataFrame) -> DataFrame:

@@ -493,10 +493,10 @@ def dedup_keep_first(spark, d):
     return convert.keep_first(table(spark, d, "documents"), ["text"], "doc_id").select("doc_id", "source")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 2 = 1 AND (p_name, p_size) NOT IN (SELECT p_name, p_size FROM part WHERE p_partkey % 2 = 0)")
+@query("SELECT min(p_partkey) AS p_partkey FROM part WHERE p_partkey % 2 = 1 AND (p_name, p_size) NOT IN (SELECT p_name, p_size FROM part WHERE p_partkey % 2 = 0) GROUP BY p_name, p_size")
 def import_new(spark, d):
     part = table(spark, d, "part")
-    return store.import_new(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), ("p_name", "p_size")).select("p_partkey")
+    return store.import_new(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), ("p_name", "p_size"), "p_partkey").select("p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -545,8 +545,7 @@ def portal_records(spark, d):
 
 @query("SELECT * FROM (VALUES ('1004', '2026-06-10', 'Altera', 'FULANO DE TAL DOS SANTOS', '3442574', 'II', '12'), ('16', '2025-03-02', '', '', '', 'II', '12'), ('17', '2025-03-03', '', 'PORTARIA PROPLAN/UFF Nº 17, DE 3 DE MARÇO DE 2025', '', '', '')) AS t(numero, data_ato, tipo_acao, signatario, sei_documento, secao, pagina)")
 def segment_acts(spark, d):
-    rows = _extracted(spark).select("numero", "data_ato", "tipo_acao", "signatario", "sei_documento", "secao", "pagina")
-    return rows.withColumns({"secao": F.when(F.col("numero") == "17", "").otherwise(F.col("secao")), "pagina": F.when(F.col("numero") == "17", "").otherwise(F.col("pagina"))})
+    return _extracted(spark).select("numero", "data_ato", "tipo_acao", "signatario", "sei_documento", "secao", "pagina")
 
 
 @query("""SELECT * FROM (VALUES ('1004', 'ALTERA', 'Portaria PROEX nº 65.784', ''), ('1004', 'REVOGA', 'Resolução CUV nº 104', 'BS 102 de 01/09/2025'), ('17', 'CITA', 'Portaria nº 12.', '')) AS t(numero, relacao, ato_citado, bs_origem)""")
