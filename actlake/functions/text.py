@@ -301,6 +301,74 @@ def unit_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(f, "[^a-z0-9]+", " "))
 
 
+def unit_label(c: Column) -> Column:
+    """A unit's name in title case: connectors small but at the start, short acronyms as they are."""
+    acronym = lambda p: (p == F.upper(p)) & (p != F.lower(p)) & (F.length(p) <= 6) & ~p.rlike("[À-Ú]")
+
+    def word(w: Column, i: Column) -> Column:
+        case = lambda p: F.when((i > 0) & fold(p).isin(V.UNIT_SMALL), F.lower(p)).when(acronym(p), p).otherwise(capital(p))
+        return F.array_join(F.transform(F.split(w, "-"), case), "-")
+
+    return F.array_join(F.transform(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), word), " ")
+
+
+def capital(word: Column) -> Column:
+    return F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, F.lit(2), F.length(word))))
+
+
+def role_events(mentions: Column) -> Column:
+    """Offices given or taken (acao, cargo, unidade, unidade_chave, nome, siape), each once, from mentions as they are written.
+
+    A unit that names none ("o departamento", "a referida seção") doesn't count; a name that is a part of the unit's is none.
+    """
+    plain = lambda m: fold(m["unidade"])
+    vague = r"\b(?:referid|mesm|respectiv|citad|aludid|supracitad|present|seguinte|propri)"
+    usable = F.filter(mentions, lambda m: (F.length(plain(m)) >= 4) & ~plain(m).isin(V.BARE_UNITS) & ~plain(m).rlike(vague))
+    events = F.transform(
+        usable,
+        lambda m: F.struct(
+            m["acao"].alias("acao"), office(m["cargo"]).alias("cargo"), unit_label(m["unidade"]).alias("unidade"), unit_key(m["unidade"]).alias("unidade_chave"),
+            F.when(F.contains(plain(m), fold(m["nome"])), "").otherwise(m["nome"]).alias("nome"), m["siape"].alias("siape"),
+        ),
+    )
+    key = lambda e: F.struct(e["acao"], F.lower(e["cargo"]), e["unidade_chave"], e["siape"])
+    return once(events, lambda all_of: F.filter(all_of, lambda e, i: ~F.exists(F.slice(all_of, F.lit(1), i), lambda x: key(x) == key(e))))
+
+
+def _stripped(c: Column, of: str) -> Column:
+    return F.regexp_replace(c, f"^[{of}]+|[{of}]+$", "")
+
+
+def inferred_summary(body: Column) -> Column:
+    """(ementa_resumo, ementa_inferida): for acts without a formal summary, one in the act's own words.
+
+    The operative part's verb in the third person and its object, without enumerators, leading clauses and what follows it.
+    """
+    text = clean(F.coalesce(body, F.lit("")))
+    part = F.coalesce(filled(F.regexp_extract(text, r"(?siuU)\bresolvem?\b\s*:?\s*(.*)$", 1)), F.when(text.rlike(r"(?iuU)\bresolvem?\b"), "").otherwise(text))
+    part = F.regexp_replace(F.regexp_replace(part, f"^(?iuU)(?:{V.ENUMERATOR}){{0,4}}", ""), r"^[ \-–.)]+", "")
+    verbs = lambda p: F.coalesce(*[F.when(p.rlike(rf"^(?iuU){v}\b"), F.struct(F.lit(form).alias("form"), F.regexp_replace(p, rf"^(?iuU){v}\b", "").alias("rest"))) for v, form in V.SUMMARY_VERBS.items()])
+
+    def thing(rest: Column) -> Column:
+        thing = F.get(F.split(F.regexp_replace(rest, f"^(?iuU)(?:{V.CLAUSE}){{0,3}}", ""), f"(?iuU){V.OBJECT_END}", 2), F.lit(0))
+        return F.regexp_replace(_stripped(thing, r" ,;.:\-–"), r"(?U)\s+", " ")
+
+    def phrase(run: Column) -> Column:
+        small = lambda w, i: (i > 0) & fold(w).isin([*V.PHRASE_SMALL])
+        return F.array_join(F.transform(F.split(run, r"\s+"), lambda w, i: F.when(small(w, i), F.lower(w)).otherwise(capital(w))), " ")
+
+    def cased(t: Column) -> Column:
+        runs = F.concat(F.transform(F.regexp_extract_all(t, F.lit(V.CAPITALS), F.lit(0)), phrase), F.array(F.lit("")))
+        return F.array_join(F.flatten(F.zip_with(F.split(t, V.CAPITALS, -1), runs, lambda gap, run: F.array(gap, run))), "")
+
+    def said(form: Column, t: Column) -> Column:
+        line = _stripped(F.regexp_replace(F.concat(form, F.lit(" "), cased(t)), r"\s+([,;.])", "$1"), r" ,;:\-–")
+        return F.concat(F.regexp_replace(F.left(clean(line), F.lit(280)), r"[ ,;:\-–]+$", ""), F.lit("."))
+
+    made = once(once(part, verbs), lambda v: once(thing(v["rest"]), lambda t: F.when(F.length(t) >= 2, said(v["form"], t))))
+    return once(made, lambda m: F.struct(F.coalesce(m, F.lit("")).alias("ementa_resumo"), m.isNotNull().alias("ementa_inferida")))
+
+
 def query_tokens(query: str) -> list[str]:
     """Words of a search of three characters or more, without search operators."""
     import re

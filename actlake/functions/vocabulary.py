@@ -151,3 +151,66 @@ SHEET_COLUMNS = [
     "Tipo de Ato", "Número", "Ano", "Data de Assinatura", "Órgão Emissor", "Ementa", "Processo SEI", "Status", "Boletim Número",
     "Link Boletim", "Marcadores", "Explicação Simples", "Relações (Formato JSON)",
 ]
+
+# Words, without accents, that are offices, professions, verbs, fields of study or table headings and not names.
+NOT_NAMES = set((
+    "professor professora reitor reitora diretor diretora coordenador coordenadora coord chefe presidente secretario secretaria "
+    "tecnico analista assistente magisterio superior matricula codigo cargo ocupante servidor servidora substituto substituta "
+    "membro membros comissao subcomissao universidade federal fluminense ministerio educacao departamento divisao coordenacao "
+    "reitoria central documento paragrafo considerando quadro permanente senhor senhora gabinete vice decano superintendente lotar "
+    "designar dispensar exonerar nomear conceder autorizar instituir revogar alterar prorrogar tornar retificar republicar "
+    "considerar resolver delegar aprovar homologar redistribuido professores professoras docente docentes diretores coordenadores "
+    "coordenadoras chefes presidentes secretarios tecnicos analistas assistentes servidores substitutos assuntos educacionais "
+    "educacional gerais administrativos administrativa academicos academica financeiros institucional institucionais setor nucleo "
+    "gerencia assessoria pessoal ensino pesquisa extensao graduacao licenca afastamento concessao capacitacao auxiliar auxiliares "
+    "enfermeiro enfermeira enfermagem medico medica odontologo odontologa dentista cirurgiao psicologo psicologa nutricionista "
+    "farmaceutico farmaceutica bioquimico fisioterapeuta fonoaudiologo biologo biomedico veterinario zootecnista engenheiro "
+    "engenheira arquiteto arquiteta quimico geologo estatistico economista contador contadora administrador administradora "
+    "administrativo bibliotecario bibliotecaria documentalista arquivista museologo jornalista publicitario tradutor tradutora "
+    "revisor revisora programador programadora operador operadora motorista telefonista recepcionista almoxarife vigilante porteiro "
+    "copeiro cozinheiro cozinheira servente jardineiro eletricista mecanico soldador torneiro marceneiro desenhista fotografo "
+    "diagramador instrumentador produtor produtora cultural social sociologo historiador pedagogo pedagoga artifice contabilidade "
+    "laboratorio laboratorista sociologia antropologia geografia historia filosofia psicologia pedagogia letras linguistica "
+    "comunicacao jornalismo economia administracao direito arquitetura engenharia matematica fisica quimica biologia geologia "
+    "computacao informatica ciencia ciencias politica politicas sociais humanas naturais exatas biologicas medicina odontologia "
+    "farmacia nutricao fisioterapia fonoaudiologia veterinaria cirurgia clinica pediatria ginecologia obstetricia cardiologia "
+    "neurologia ortopedia radiologia anestesiologia dermatologia oftalmologia urologia patologia psiquiatria geriatria "
+    "traumatologia bucomaxilofacial bucomaxilofaciais buco maxilo facial geral nome mat"
+).split())
+NAME_CONNECTORS = {"de", "da", "do", "das", "dos", "e"}
+
+# Names of units that name none, small words in units' names, and what follows a unit's name in a text.
+BARE_UNITS = "curso departamento programa instituto faculdade escola divisao secao setor nucleo coordenacao coordenadoria diretoria gerencia reitoria unidade polo colegiado".split()
+UNIT_SMALL = "de da do das dos e em na no nas nos a o ao aos com para por sob sem entre sobre".split()
+UNIT_ENDS = [r"(?i)\s+d[aoe]st?[ae]?\s+Universidade.*$", rf"(?i)\s+d[ao]\s+{ACRONYM}\b.*$", r"\s*\([^)]*$"]
+
+# Verbs of the operative part, in the order they are tried, with the form that a summary starts with.
+SUMMARY_VERBS = {
+    r"tornar\s+sem\s+efeito": "Torna sem efeito", r"tornar\s+p[úu]blico": "Torna público", "designar": "Designa", "nomear": "Nomeia",
+    "exonerar": "Exonera", "dispensar": "Dispensa", "constituir": "Constitui", "instituir": "Institui", "conceder": "Concede",
+    "autorizar": "Autoriza", "prorrogar": "Prorroga", "alterar": "Altera", "revogar": "Revoga", "aprovar": "Aprova",
+    "homologar": "Homologa", "retificar": "Retifica", "republicar": "Republica", "delegar": "Delega", "criar": "Cria",
+    "estabelecer": "Estabelece", "remover": "Remove", "redistribuir": "Redistribui", "lotar": "Lota", "cancelar": "Cancela",
+    "suspender": "Suspende", "determinar": "Determina", "fixar": "Fixa", "declarar": "Declara", "convalidar": "Convalida",
+    "reconduzir": "Reconduz", "destituir": "Destitui", "substituir": "Substitui", "conceituar": "Conceitua", "ratificar": "Ratifica",
+    "dispor": "Dispõe sobre", "interromper": "Interrompe", "aposentar": "Aposenta", "aplicar": "Aplica", "atribuir": "Atribui",
+    "extinguir": "Extingue", "atualizar": "Atualiza", "publicar": "Publica", "readaptar": "Readapta", "incluir": "Inclui",
+    "excluir": "Exclui", "abonar": "Abona", "conferir": "Confere", "transferir": "Transfere", "anular": "Anula", "validar": "Valida",
+}
+# Enumerators before the verb, clauses before its object, what ends the object, and runs of capitals in it.
+ENUMERATOR = (
+    r"\s*(?:art\.?\s*\d+[ºo°.\-]*\s*[-–]?\s*|[ivx]{1,4}\s*[-–.)]\s*|\d+\s*[-–.)]\s*|[a-z]\s*[-)]\s*|§\s*\d*[ºo°]?\s*|"
+    r"par[áa]grafo\s+\S+\s*[-–.:]?\s*)"
+)
+CLAUSE = (
+    r"\s*,?\s*(?:consoante\b[^,]*|conforme\b[^,]*|nos termos\b[^,]*|tendo em vista\b[^,]*|de acordo com\b[^,]*|com base n[oa]\b[^,]*|"
+    r"a pedido|a partir d[eo]\b[^,]*|a contar d[eo]\b[^,]*|com efeitos?\b[^,]*|pelo per[íi]odo\b[^,]*|no per[íi]odo\b[^,]*|"
+    r"retroativ[oa]\b[^,]*|em car[áa]ter\b[^,]*|por \d+[^,]*)\s*,\s*"
+)
+OBJECT_END = (
+    r"(?:;|\.(?=\s|$)|\bII+\s*[-–]|\bIV\s*[-–]|,?\s*\bmatr[íi]cula\b|,?\s*\bsiape\b|,?\s*\bc[óo]digo\b|\ba partir\b|\bcom valid|"
+    r"\bpelo per[íi]odo\b|\bno per[íi]odo\b|\btendo em vista\b|\bem virtude\b|\bnos termos\b|\bem substitui|\bpublique-se\b|"
+    r"\bregistre-se\b|\bfica\b)"
+)
+CAPITALS = r"[A-ZÀ-Þ][A-ZÀ-Þ0-9'’\-]*(?:\s+[A-ZÀ-Þ][A-ZÀ-Þ0-9'’\-]*)+"
+PHRASE_SMALL = "de da do das dos e a o as os em no na nos nas para por com sem ao aos à às que sob sobre entre".split()

@@ -44,9 +44,9 @@ def act_records(segs: DataFrame, process_base: str = "", document_base: str = ""
     read = first.withColumns(
         {
             "relacoes": R.citations_udf("ementa", "corpo", "sigla", "_numero"),
-            "resumo": F.when(F.length(F.trim("ementa")) < 12, R.inferred_summary_udf("corpo")),
+            "resumo": F.when(F.length(F.trim("ementa")) < 12, T.inferred_summary(F.col("corpo"))),
             "pessoas": R.people_udf("trecho"),
-            "funcoes": F.when(F.col("trecho").rlike(r"(?iu)fun[çc]|cargo"), R.roles_udf("trecho")).otherwise(F.array().cast(R.ROLE)),
+            "funcoes": F.when(F.col("trecho").rlike(r"(?iu)fun[çc]|cargo"), T.role_events(R.role_mentions_udf("trecho"))).otherwise(F.array().cast(R.ROLE)),
         }
     )
     main = T.first_or_blank(F.col("processos_sei"))

@@ -48,11 +48,43 @@ def test_names_keep_letters_and_apostrophes():
     assert R.people("Lotar LIma Dal'Magro, Mat. SIAPE 123456") == [{"nome": "Lima Dal'Magro", "siape": "123456"}]
 
 
-def test_roles():
+def test_professions_are_no_names():
+    for profession in ("MÉDICA", "Nutricionista", "CONTADOR", "ASSISTENTE SOCIAL", "REITORA", "Professores de Letras"):
+        assert R.people(f"designar {profession} MARIA DA SILVA, SIAPE 1234567")[0]["nome"] == "Maria da Silva"
+    # words of the list count whole: a surname may begin with one
+    assert R.people("REITORADO CLARA LETRASSON, SIAPE 1234567")[0]["nome"] == "Reitorado Clara Letrasson"
+    assert R.people("SIAPE 1234567, e o SIAPE 7654321, SIAPE 1234567") == [{"nome": "", "siape": "1234567"}, {"nome": "", "siape": "7654321"}]
+    assert R.people(None) == []
+
+
+def role_events(spark, text):
+    rows = spark.createDataFrame([(text,)], "v string").select(T.role_events(R.role_mentions_udf("v")).alias("r"))
+    return [e.asDict() for e in rows.first().r]
+
+
+def test_roles(spark):
     text = "resolve: exonerar JOÃO SILVA, SIAPE 1234567, da função de Vice-Diretor do Instituto de Química - IQ, a partir de hoje"
-    (event,) = R.roles(text)
-    assert (event["acao"], event["cargo"], event["unidade_chave"], event["siape"]) == ("dispensar", "Vice-Diretor", "instituto de quimica", "1234567")
-    assert R.roles("designar ANA LIMA, SIAPE 1234567, como substituta eventual, para a função de Chefe do Setor X,") == []
+    assert role_events(spark, text) == [
+        {"acao": "dispensar", "cargo": "Vice-Diretor", "unidade": "Instituto de Química - IQ", "unidade_chave": "instituto de quimica", "nome": "João Silva", "siape": "1234567"}
+    ]
+    assert role_events(spark, "designar ANA LIMA, SIAPE 1234567, como substituta eventual, para a função de Chefe do Setor X,") == []
+    assert role_events(spark, "designar ANA LIMA, SIAPE 1234567, para a função de Chefe do referido Setor, e mais") == []
+    twice = "designar ANA LIMA, SIAPE 1234567, para a função de Chefe do Setor de Obras, e a ANA LIMA, SIAPE 1234567, para o cargo de Chefe do SETOR DE OBRAS."
+    assert len(role_events(spark, twice)) == 1 and role_events(spark, None) == []
+    # without a verb the preposition decides
+    assert role_events(spark, "ANA LIMA, SIAPE 1234567, da função de Coordenadora do Curso de Letras.")[0]["acao"] == "dispensar"
+
+
+def test_inferred_summaries(spark):
+    for body, said in {
+        "O REITOR resolve: I - exonerar, a pedido, a partir de 04/08/2025, JOÃO DA SILVA do cargo X; publique-se": "Exonera João da Silva do cargo X.",
+        "RESOLVE: Art. 1º Tornar sem efeito a Portaria nº 12. Art. 2º": "Torna sem efeito a Portaria nº 12.",
+        "dispor sobre a COMISSÃO DE OBRAS E REFORMAS , nos termos da lei": "Dispõe sobre sobre a Comissão de Obras e Reformas.",
+        "resolve: nada": "", "": "", "resolve: designar": "",
+    }.items():
+        found = one(spark, body, T.inferred_summary)
+        assert tuple(found) == (said, said != "")
+    assert tuple(one(spark, None, T.inferred_summary)) == ("", False)
 
 
 def test_citations_take_the_nearest_verb():
