@@ -80,3 +80,27 @@ def of_tables(spark: SparkSession, sf_dir: str, query: str, *names: str) -> Data
 
 def duck(query: str) -> str:
     return query.replace("{text}", "VARCHAR")
+
+
+#: Parts of an act for each order; bulletins are written from them, so that what is read back can be stated from the parts.
+ORDER_PARTS = """SELECT o_orderkey AS k, CAST(o_custkey % 400 + 1 AS {text}) AS livro, CAST(year(o_orderdate) AS {text}) AS ano,
+  CAST(o_custkey % 400 + 1 AS {text}) || '-' || CAST(year(o_orderdate) AS {text}) || '.pdf' AS arquivo, CAST(day(o_orderdate) AS {text}) AS dia,
+  lpad(CAST(month(o_orderdate) AS {text}), 2, '0') AS mes,
+  CASE month(o_orderdate) WHEN 1 THEN 'JANEIRO' WHEN 2 THEN 'FEVEREIRO' WHEN 3 THEN 'MARÇO' WHEN 4 THEN 'ABRIL' WHEN 5 THEN 'MAIO' WHEN 6 THEN 'JUNHO'
+    WHEN 7 THEN 'JULHO' WHEN 8 THEN 'AGOSTO' WHEN 9 THEN 'SETEMBRO' WHEN 10 THEN 'OUTUBRO' WHEN 11 THEN 'NOVEMBRO' ELSE 'DEZEMBRO' END AS mes_escrito,
+  CASE o_orderkey % 4 WHEN 0 THEN 'PROEX' WHEN 1 THEN 'GES' WHEN 2 THEN 'PROGEPE' ELSE 'SDC' END AS orgao, CAST(o_orderkey AS {text}) AS numero,
+  '23069.' || lpad(CAST(o_orderkey % 1000000 AS {text}), 6, '0') || '/' || CAST(year(o_orderdate) AS {text}) || '-' || lpad(CAST(o_orderkey % 100 AS {text}), 2, '0') AS processo,
+  CAST(1000000 + o_custkey AS {text}) AS siape, CAST(2000000 + o_orderkey AS {text}) AS documento, CAST(o_custkey % 5000 + 1 AS {text}) AS citado, o_orderkey % 3 AS forma,
+  CASE o_custkey % 4 WHEN 0 THEN 'MARIA DA SILVA FRÜHAUF' WHEN 1 THEN 'JOÃO SANT''ANNA' WHEN 2 THEN 'ANA LÚCIA DOS REIS' ELSE 'PEDRO d''ÁVILA NETO' END AS pessoa,
+  CASE o_custkey % 4 WHEN 0 THEN 'Maria da Silva Frühauf' WHEN 1 THEN 'João Sant''Anna' WHEN 2 THEN 'Ana Lúcia dos Reis' ELSE 'Pedro D''Ávila Neto' END AS nome,
+  CASE o_orderkey % 5 WHEN 0 THEN 'Física' WHEN 1 THEN 'Química' WHEN 2 THEN 'Letras' WHEN 3 THEN 'Ciência da Computação' ELSE 'Obras' END AS area,
+  CASE o_orderkey % 5 WHEN 0 THEN 'fisica' WHEN 1 THEN 'quimica' WHEN 2 THEN 'letras' WHEN 3 THEN 'ciencia da computacao' ELSE 'obras' END AS area_chave FROM orders"""
+PARTS_AS_PAGES = """SELECT arquivo, CAST(k AS INT) AS page_no, 'UNIVERSIDADE FEDERAL FLUMINENSE – BOLETIM DE SERVIÇO ANO LX N° ' || livro || ' 10/06/' || ano || ' SEÇÃO II PÁG. 012' || chr(10)
+  || 'PORTARIA ' || orgao || '/UFF Nº ' || numero || ', DE ' || dia || ' DE ' || mes_escrito || ' DE ' || ano || chr(10)
+  || CASE forma WHEN 0 THEN 'Altera a Portaria PROEX nº ' || citado || ' e dá outras providências.' || chr(10) || 'O REITOR, tendo em vista o processo ' || processo || ',' || chr(10)
+      || 'RESOLVE: Art. 1º Revogar a Resolução CUV nº ' || citado || ', publicada no BS nº 102, de 01/09/2025.'
+    WHEN 1 THEN 'Considerando o que consta do processo ' || processo || ',' || chr(10) || 'RESOLVE: Art. 1º Designar, a pedido, ' || pessoa || ', Professora, matrícula SIAPE nº ' || siape
+      || ', para a função de Chefe do Departamento de ' || area || ', código FG-1, a partir de 01/03/2025.'
+    ELSE 'Considerando o que consta do processo ' || processo || ',' || chr(10) || 'RESOLVE: dispensar ' || pessoa || ', SIAPE ' || siape || ', da função de Coordenador do Curso de Graduação em ' || area
+      || ', conforme a Portaria nº ' || citado || ', a contar desta data.' END
+  || chr(10) || 'FULANO DE TAL DOS SANTOS' || chr(10) || 'REITOR' || chr(10) || '(' || documento || ')' || chr(10) AS text FROM {parts}"""

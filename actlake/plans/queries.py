@@ -11,7 +11,7 @@ from actlake.functions import text as T
 from actlake.functions import vocabulary as V
 from actlake.operators import convert, extract, listing, resolve, store
 from actlake.plans.fixtures import (
-    ACTS, BULLETIN, EVENT_ROLES, ITEM_RELATIONS, ORDER_ACTS, RELATIONS, ROLES, SCALARS, duck, of_tables, sql, table,
+    ACTS, BULLETIN, EVENT_ROLES, ITEM_RELATIONS, ORDER_ACTS, ORDER_PARTS, PARTS_AS_PAGES, RELATIONS, ROLES, SCALARS, duck, of_tables, sql, table,
 )
 from actlake.sources import readers, writers
 
@@ -584,3 +584,124 @@ def without_summary(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(11)).alias("ementa"), (F.col("doc_id") % 2 == 1).alias("ementa_inferida"), F.col("text").alias("corpo_busca"))
     return extract.without_summary(rows).select("doc_id")
 
+
+# --- reading thousands of acts: bulletins written from the orders ----------------------------------------------------------------
+
+
+def _bulletin_acts(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.sql(PARTS_AS_PAGES, parts=of_tables(spark, d, ORDER_PARTS, "orders"))
+    return extract.extract(pages, "https://example.org/p/", "https://example.org/d/")
+
+
+def _bulletin_records(spark: SparkSession, d: str) -> DataFrame:
+    acts = _bulletin_acts(spark, d).withColumn("_idx", F.col("numero").cast("long"))
+    books = acts.select("arquivo", "bs_data").distinct()
+    urls = books.where("arquivo LIKE '%-1995.pdf'").select("arquivo", F.concat(F.lit("https://example.org/b/"), "arquivo").alias("url"))
+    return convert.portal_records(acts, books, urls, "https://example.org/")
+
+
+_PARTS = f"WITH parts AS ({duck(ORDER_PARTS)})"
+_DATE_OF_PARTS = "ano || '-' || mes || '-' || lpad(dia, 2, '0')"
+_SAID = """CASE forma WHEN 0 THEN '' WHEN 1 THEN 'Designa ' ELSE 'Dispensa ' END || CASE WHEN forma > 0 THEN replace(replace(nome, 'Sant''Anna', 'Sant''anna'), 'Pedro D''Ávila', 'PEDRO d''Ávila') ELSE '' END
+|| CASE forma WHEN 0 THEN '' WHEN 1 THEN ', Professora.' ELSE '.' END"""
+_FORMAL = "CASE forma WHEN 0 THEN 'Altera a Portaria PROEX nº ' || citado || ' e dá outras providências.' ELSE '' END"
+
+
+@query(f"""{_PARTS} SELECT numero, arquivo, livro AS bs_numero, '10/06/' || ano AS bs_data, 'II' AS secao, '12' AS pagina, 'PORTARIA' AS tipo, orgao || '/UFF' AS orgao, orgao AS sigla, {_DATE_OF_PARTS} AS data_ato,
+'Portaria ' || orgao || ' nº ' || numero || '/' || ano AS identificador, CASE forma WHEN 0 THEN 'Altera' ELSE '' END AS tipo_acao, {_FORMAL} AS ementa, {_SAID} AS ementa_resumo, forma > 0 AS ementa_inferida,
+'FULANO DE TAL DOS SANTOS' AS signatario, processo AS processo_sei_principal, documento AS sei_documento, 'https://example.org/p/' || processo AS link_sei_processo, 'https://example.org/d/' || documento AS link_sei_documento,
+CASE forma WHEN 0 THEN 'Portaria PROEX nº ' || citado ELSE '' END AS altera, CASE forma WHEN 0 THEN 'Resolução CUV nº ' || citado ELSE '' END AS revoga, CASE forma WHEN 2 THEN 'Portaria nº ' || citado ELSE '' END AS cita FROM parts""")
+def bulletin_acts(spark, d):
+    shown = "numero arquivo bs_numero bs_data secao pagina tipo orgao sigla data_ato identificador tipo_acao ementa ementa_resumo ementa_inferida signatario processo_sei_principal sei_documento link_sei_processo link_sei_documento altera revoga cita"
+    return _bulletin_acts(spark, d).select(*shown.split())
+
+
+@query(f"""{_PARTS} SELECT numero, 'ALTERA' AS relacao, 'Portaria PROEX nº ' || citado AS ato_citado, '' AS bs_origem FROM parts WHERE forma = 0 UNION ALL
+SELECT numero, 'REVOGA', 'Resolução CUV nº ' || citado, 'BS 102 de 01/09/2025' FROM parts WHERE forma = 0 UNION ALL SELECT numero, 'CITA', 'Portaria nº ' || citado, '' FROM parts WHERE forma = 2""")
+def bulletin_citations(spark, d):
+    return _bulletin_acts(spark, d).select("numero", F.inline("relacoes")).select("numero", "relacao", "ato_citado", "bs_origem")
+
+
+@query(f"{_PARTS} SELECT numero, nome, siape FROM parts WHERE forma > 0")
+def bulletin_people(spark, d):
+    return _bulletin_acts(spark, d).select("numero", F.inline("pessoas"))
+
+
+_PARTS_AS_ROLES = """SELECT numero, CASE forma WHEN 1 THEN 'designar' ELSE 'dispensar' END AS acao, CASE forma WHEN 1 THEN 'Chefe' ELSE 'Coordenador' END AS cargo,
+CASE forma WHEN 1 THEN 'Departamento de ' ELSE 'Curso de Graduação em ' END || area AS unidade, CASE forma WHEN 1 THEN 'departamento de ' ELSE 'curso de graduacao em ' END || area_chave AS unidade_chave, nome, siape FROM parts WHERE forma > 0"""
+
+
+@query(f"{_PARTS} {_PARTS_AS_ROLES}")
+def bulletin_roles(spark, d):
+    return _bulletin_acts(spark, d).select("numero", F.inline("funcoes"))
+
+
+@query(f"""{_PARTS} SELECT livro || '-' || ano || '-portaria-' || lower(orgao) || '-' || numero || '-' || ano AS id, 'Portaria' AS "tipoAto", numero, CAST(ano AS INTEGER) AS ano, {_DATE_OF_PARTS} AS "dataAssinatura", orgao AS "orgaoEmissor",
+CASE forma WHEN 0 THEN {_FORMAL} ELSE {_SAID} END AS ementa, forma > 0 AS "ementaInferida", CASE forma WHEN 0 THEN {_FORMAL} ELSE {_SAID} END AS "conteudoResumido", processo AS "processoSei", documento AS "seiDocumento", 'BS nº ' || livro || '/' || ano AS "boletimNumero",
+CASE ano WHEN '1995' THEN 'https://example.org/b/' || arquivo ELSE 'https://example.org/' END AS "linkBoletim", 'Extraído de ' || arquivo || '. Assinante: FULANO DE TAL DOS SANTOS.' AS "notasInternas",
+CASE forma WHEN 0 THEN 'Altera=Portaria PROEX nº ' || citado || '; Revoga=Resolução CUV nº ' || citado WHEN 2 THEN 'Complementa=Portaria nº ' || citado ELSE '' END AS relacoes FROM parts""")
+def bulletin_records(spark, d):
+    relations = F.array_join(F.transform("relacoes", lambda r: F.concat_ws("=", r["tipoRelacao"], r["atoDestino"])), "; ").alias("relacoes")
+    shown = "id tipoAto numero ano dataAssinatura orgaoEmissor ementa ementaInferida conteudoResumido processoSei seiDocumento boletimNumero linkBoletim notasInternas"
+    return _bulletin_records(spark, d).select(*shown.split(), relations)
+
+
+@query(f"""{_PARTS}, roles AS (SELECT r.*, CAST({_DATE_OF_PARTS.replace("ano", "p.ano")} AS DATE) AS data_ato, p.livro || '-' || p.ano || '-portaria-' || lower(p.orgao) || '-' || p.numero || '-' || p.ano AS ato_id
+FROM ({_PARTS_AS_ROLES}) AS r JOIN parts p ON p.numero = r.numero){_HOLDERS.replace("SELECT cargo, unidade, siape", "SELECT cargo, unidade, nome, siape")}""")
+def named_holders(spark, d):
+    records = _bulletin_records(spark, d)
+    # the events lose their names, which come back from the acts' registrations
+    roles = store.roles_table(records).withColumn("nome", F.lit(""))
+    return listing.current_holders(roles, store.acts_table(records), store.registrations_table(records)).selectExpr("cargo", "unidade", "nome", "siape", "CAST(desde AS STRING) AS desde", "ato_id")
+
+
+@query(f"""{_PARTS} SELECT CAST(livro AS INTEGER) + CAST(ano AS INTEGER) * 1000 AS boletim_id, count(*) AS atos FROM parts GROUP BY 1""")
+def acts_of_bulletins(spark, d):
+    records = _bulletin_records(spark, d)
+    return store.with_bulletin(store.acts_table(records), store.bulletins_table(records)).groupBy("boletim_id").agg(F.count(F.lit(1)).alias("atos"))
+
+
+_ITEMS = """SELECT CAST(o_orderkey AS {text}) AS numero, o_orderkey AS _idx, CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS "ementa", 'Portaria' AS "tipoAto", CAST(o_custkey AS {text}) AS "processoSei", o_orderstatus AS "conteudoResumido",
+substr(o_orderpriority, 3) AS "orgaoEmissor", year(o_orderdate) AS ano, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS {text}) END AS "dataAssinatura", lower(o_orderpriority) || ' siape ' || CAST(1000000 + o_custkey AS {text}) AS "textoBusca" FROM orders"""
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    rows = of_tables(spark, d, _ITEMS.replace('"', "`"), "orders")
+    return rows.withColumns({"siapes": F.array(F.col("processoSei")), "tags": F.array("orgaoEmissor"), "signatario": F.col("conteudoResumido"), "status": F.lit("Ativo")})
+
+
+@query(f"""WITH x AS ({duck(_ITEMS)}) SELECT numero FROM x WHERE contains("textoBusca", 'urgent') OR contains(lower(coalesce(ementa, '')), 'urgent') OR contains(lower("orgaoEmissor"), 'urgent')""")
+def static_name(spark, d):
+    return listing.static_filtered(_items(spark, d), P(nome=" Urgent ")).select("numero")
+
+
+@query(f"""WITH x AS ({duck(_ITEMS)}) SELECT numero FROM x WHERE contains("processoSei", '12') OR contains("textoBusca", '12')""")
+def static_registration(spark, d):
+    return listing.static_filtered(_items(spark, d), P(siape="1-2")).select("numero")
+
+
+@query(f"""WITH x AS ({duck(_ITEMS)}) SELECT numero FROM x WHERE contains(numero, 'low') OR contains(lower(coalesce(ementa, '')), 'low') OR contains("processoSei", 'low') OR contains(lower("orgaoEmissor"), 'low') OR contains(lower("conteudoResumido"), 'low')""")
+def sheet_search(spark, d):
+    return listing.static_filtered(_items(spark, d), P(busca="LOW"), sheet=True).select("numero")
+
+
+@query(f"""WITH x AS ({duck(_ITEMS)}) SELECT numero FROM x ORDER BY coalesce("dataAssinatura", '') DESC, _idx LIMIT 50 OFFSET 50""")
+def static_sorted_page(spark, d):
+    return listing.static_page(_items(spark, d), P(ordenar="data_ato", dir="desc", pagina="2")).select("numero")
+
+
+_CARD = "7"
+
+
+@query(f"""WITH acts AS ({duck(ORDER_ACTS)}), relations AS ({duck(ITEM_RELATIONS)})
+SELECT id, tipo, numero, (SELECT string_agg(tipo_relacao || '>' || coalesce(CAST(ato_destino_id AS VARCHAR), ''), ';' ORDER BY rel_id) FROM relations WHERE ato_id = {_CARD}) AS relacoes,
+(SELECT string_agg(r.tipo_relacao || '<' || trim(a.tipo || ' ' || a.sigla || ' nº ' || a.numero || '/' || a.ano), ';' ORDER BY r.rel_id) FROM relations r JOIN acts a ON a.id = r.ato_id WHERE r.ato_destino_id = {_CARD}) AS referencias,
+'1,2' AS siapes, 'a,b' AS tags FROM acts WHERE id = {_CARD}""")
+def act_card(spark, d):
+    acts, relations = _acts(spark, d), _relations(spark, d).withColumns({"ato_destino_texto": F.lit(""), "detalhes": F.lit("")})
+    people = acts.select(F.col("id").alias("ato_id"), F.explode(F.array(F.lit("2"), F.lit("1"))).alias("siape")).withColumn("nome", F.when(F.col("siape") == "1", "Ana"))
+    tags = acts.select(F.col("id").alias("ato_id"), F.explode(F.array(F.lit("b"), F.lit("a"))).alias("tag"))
+    found = listing.card(_CARD, acts, people, relations, tags)
+    out = F.array_join(F.transform("relacoes", lambda r: F.concat(r["tipoRelacao"], F.lit(">"), F.coalesce(r["atoDestinoId"].cast("string"), F.lit("")))), ";")
+    back = F.array_join(F.transform("referenciadoPor", lambda r: F.concat(r["relacao"], F.lit("<"), r["porLabel"])), ";")
+    return found.select("id", "tipo", "numero", F.when(out != "", out).alias("relacoes"), F.when(back != "", back).alias("referencias"), F.array_join("siapes", ",").alias("siapes"), F.array_join("tags", ",").alias("tags"))
