@@ -135,7 +135,7 @@ def _blocks(keys: np.ndarray, bounds: list[np.ndarray]) -> np.ndarray:
 def fit_window(index: DataFrame, queries: DataFrame, bounds: list[np.ndarray], k: int, sample: int, target: float) -> int:
     """Least number of ranges to each side that holds ``target`` of the sample's true neighbours on one curve or another.
 
-    ``sample`` queries (those with the smallest hash of the id) are compared with all vectors, in one pass over these.
+    A query's own vector, one of the ``k`` best, is no neighbour. ``sample`` queries (those with the smallest hash of the id) are compared with all vectors, in one pass over these.
     """
     chosen = queries.orderBy(F.xxhash64("uid"), "uid").limit(sample).select("uid", "v", "keys").collect()
     if not chosen:
@@ -152,7 +152,10 @@ def fit_window(index: DataFrame, queries: DataFrame, bounds: list[np.ndarray], k
 
     found = index.select("uid", "v", "keys").mapInArrow(run, "r long, uid long, score double, away long")
     best = Window.partitionBy("r").orderBy(F.desc("score"), "uid")
-    away = [x.away for x in found.withColumn("_n", F.row_number().over(best)).where(f"_n <= {k}").select("away").collect()]
+    nearest = found.withColumn("_n", F.row_number().over(best)).where(f"_n <= {k}").select("r", "uid", "away").collect()
+    away = [x.away for x in nearest if x.uid != chosen[x.r].uid]
+    if not away:
+        return 0
     return int(np.sort(away)[max(0, int(np.ceil(target * len(away))) - 1)])
 
 
