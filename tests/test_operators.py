@@ -100,3 +100,18 @@ def test_static_and_sheet_searches_differ(spark):
     find = lambda sheet, **k: listing.static_filtered(r, listing.ListParams(**k), sheet).count()
     assert (find(False, busca="verde"), find(True, busca="VERDE")) == (0, 1)
     assert find(False, siape="123-456") == 1 and find(False, nome="proex") == 1
+
+
+def test_import_keeps_the_first_of_each_key(spark):
+    old = spark.createDataFrame([("Portaria", "1", 2026, 0)], "tipoAto string, numero string, ano int, ordem int")
+    new = spark.createDataFrame([("Portaria", "2", 2026, 2), ("Portaria", "2", 2026, 1), ("Portaria", "1", 2026, 0), (None, "2", 2026, 4), (None, "2", 2026, 3)], old.schema)
+    assert sorted(r.ordem for r in store.import_new(old, new).collect()) == [1, 3]
+
+
+def test_citing_acts_may_not_count_themselves(spark):
+    acts = spark.sql("SELECT * FROM VALUES ('a1', 'Portaria', 'X', '10', DATE'2020-01-01'), ('a2', 'Portaria', 'Y', '10', DATE'2019-01-01'), ('a3', 'Portaria', 'Y', '10', DATE'2021-01-01') AS t(id, tipo, sigla, numero, data_ato)")
+    cited = [("r1", "a1", "Portaria nº 10"), ("r2", "a1", "Portaria X nº 10"), ("r3", "a2", "Portaria nº 10"), ("r4", "a3", "Portaria Y nº 10")]
+    relations = spark.createDataFrame(cited, "rel_id string, ato_id string, ato_destino_texto string")
+    found = {self_links: {r.rel_id: (r.desfecho, r.ato_destino_id) for r in resolve.resolve_citations(acts, relations, self_links).collect()} for self_links in (True, False)}
+    assert found[True] == {"r1": ("ambiguo", None), "r2": ("ok", "a1"), "r3": ("ok", "a2"), "r4": ("ambiguo", None)}
+    assert found[False] == {"r1": ("ok", "a2"), "r2": ("ok", "a2"), "r3": ("nao_encontrado", None), "r4": ("ok", "a2")}
