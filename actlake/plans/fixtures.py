@@ -97,7 +97,7 @@ ORDER_PARTS = """SELECT o_orderkey AS k, CAST(o_custkey % 400 + 1 AS {text}) AS
   CASE o_orderkey % 5 WHEN 0 THEN 'fisica' WHEN 1 THEN 'quimica' WHEN 2 THEN 'letras' WHEN 3 THEN 'ciencia da computacao' ELSE 'obras' END AS area_chave FROM orders"""
 PARTS_AS_PAGES = """SELECT arquivo, CAST(k AS INT) AS page_no, 'UNIVERSIDADE FEDERAL FLUMINENSE – BOLETIM DE SERVIÇO ANO LX N° ' || livro || ' 10/06/' || ano || ' SEÇÃO II PÁG. 012' || chr(10)
   || 'PORTARIA ' || orgao || '/UFF Nº ' || numero || ', DE ' || dia || ' DE ' || mes_escrito || ' DE ' || ano || chr(10)
-  || CASE forma WHEN 0 THEN 'Altera a Portaria PROEX nº ' || citado || ' e dá outras providências.' || chr(10) || 'O REITOR, tendo em vista o processo ' || processo || ',' || chr(10)
+  || CASE forma WHEN 0 THEN 'Altera a Portaria PROAD nº ' || citado || ' e dá outras providências.' || chr(10) || 'O REITOR, tendo em vista o processo ' || processo || ',' || chr(10)
       || 'RESOLVE: Art. 1º Revogar a Resolução CUV nº ' || citado || ', publicada no BS nº 102, de 01/09/2025.'
     WHEN 1 THEN 'Considerando o que consta do processo ' || processo || ',' || chr(10) || 'RESOLVE: Art. 1º Designar, a pedido, ' || pessoa || ', Professora, matrícula SIAPE nº ' || siape
       || ', para a função de Chefe do Departamento de ' || area || ', código FG-1, a partir de 01/03/2025.'

@@ -604,19 +604,19 @@ _PARTS = f"WITH parts AS ({duck(ORDER_PARTS)})"
 _DATE_OF_PARTS = "ano || '-' || mes || '-' || lpad(dia, 2, '0')"
 _SAID = """CASE forma WHEN 0 THEN '' WHEN 1 THEN 'Designa ' ELSE 'Dispensa ' END || CASE WHEN forma > 0 THEN replace(replace(nome, 'Sant''Anna', 'Sant''anna'), 'Pedro D''Ávila', 'PEDRO d''Ávila') ELSE '' END
 || CASE forma WHEN 0 THEN '' WHEN 1 THEN ', Professora.' ELSE '.' END"""
-_FORMAL = "CASE forma WHEN 0 THEN 'Altera a Portaria PROEX nº ' || citado || ' e dá outras providências.' ELSE '' END"
+_FORMAL = "CASE forma WHEN 0 THEN 'Altera a Portaria PROAD nº ' || citado || ' e dá outras providências.' ELSE '' END"
 
 
 @query(f"""{_PARTS} SELECT numero, arquivo, livro AS bs_numero, '10/06/' || ano AS bs_data, 'II' AS secao, '12' AS pagina, 'PORTARIA' AS tipo, orgao || '/UFF' AS orgao, orgao AS sigla, {_DATE_OF_PARTS} AS data_ato,
 'Portaria ' || orgao || ' nº ' || numero || '/' || ano AS identificador, CASE forma WHEN 0 THEN 'Altera' ELSE '' END AS tipo_acao, {_FORMAL} AS ementa, {_SAID} AS ementa_resumo, forma > 0 AS ementa_inferida,
 'FULANO DE TAL DOS SANTOS' AS signatario, processo AS processo_sei_principal, documento AS sei_documento, 'https://example.org/p/' || processo AS link_sei_processo, 'https://example.org/d/' || documento AS link_sei_documento,
-CASE forma WHEN 0 THEN 'Portaria PROEX nº ' || citado ELSE '' END AS altera, CASE forma WHEN 0 THEN 'Resolução CUV nº ' || citado ELSE '' END AS revoga, CASE forma WHEN 2 THEN 'Portaria nº ' || citado ELSE '' END AS cita FROM parts""")
+CASE forma WHEN 0 THEN 'Portaria PROAD nº ' || citado ELSE '' END AS altera, CASE forma WHEN 0 THEN 'Resolução CUV nº ' || citado ELSE '' END AS revoga, CASE forma WHEN 2 THEN 'Portaria nº ' || citado ELSE '' END AS cita FROM parts""")
 def bulletin_acts(spark, d):
     shown = "numero arquivo bs_numero bs_data secao pagina tipo orgao sigla data_ato identificador tipo_acao ementa ementa_resumo ementa_inferida signatario processo_sei_principal sei_documento link_sei_processo link_sei_documento altera revoga cita"
     return _bulletin_acts(spark, d).select(*shown.split())
 
 
-@query(f"""{_PARTS} SELECT numero, 'ALTERA' AS relacao, 'Portaria PROEX nº ' || citado AS ato_citado, '' AS bs_origem FROM parts WHERE forma = 0 UNION ALL
+@query(f"""{_PARTS} SELECT numero, 'ALTERA' AS relacao, 'Portaria PROAD nº ' || citado AS ato_citado, '' AS bs_origem FROM parts WHERE forma = 0 UNION ALL
 SELECT numero, 'REVOGA', 'Resolução CUV nº ' || citado, 'BS 102 de 01/09/2025' FROM parts WHERE forma = 0 UNION ALL SELECT numero, 'CITA', 'Portaria nº ' || citado, '' FROM parts WHERE forma = 2""")
 def bulletin_citations(spark, d):
     return _bulletin_acts(spark, d).select("numero", F.inline("relacoes")).select("numero", "relacao", "ato_citado", "bs_origem")
@@ -639,7 +639,7 @@ def bulletin_roles(spark, d):
 @query(f"""{_PARTS} SELECT livro || '-' || ano || '-portaria-' || lower(orgao) || '-' || numero || '-' || ano AS id, 'Portaria' AS "tipoAto", numero, CAST(ano AS INTEGER) AS ano, {_DATE_OF_PARTS} AS "dataAssinatura", orgao AS "orgaoEmissor",
 CASE forma WHEN 0 THEN {_FORMAL} ELSE {_SAID} END AS ementa, forma > 0 AS "ementaInferida", CASE forma WHEN 0 THEN {_FORMAL} ELSE {_SAID} END AS "conteudoResumido", processo AS "processoSei", documento AS "seiDocumento", 'BS nº ' || livro || '/' || ano AS "boletimNumero",
 CASE ano WHEN '1995' THEN 'https://example.org/b/' || arquivo ELSE 'https://example.org/' END AS "linkBoletim", 'Extraído de ' || arquivo || '. Assinante: FULANO DE TAL DOS SANTOS.' AS "notasInternas",
-CASE forma WHEN 0 THEN 'Altera=Portaria PROEX nº ' || citado || '; Revoga=Resolução CUV nº ' || citado WHEN 2 THEN 'Complementa=Portaria nº ' || citado ELSE '' END AS relacoes FROM parts""")
+CASE forma WHEN 0 THEN 'Altera=Portaria PROAD nº ' || citado || '; Revoga=Resolução CUV nº ' || citado WHEN 2 THEN 'Complementa=Portaria nº ' || citado ELSE '' END AS relacoes FROM parts""")
 def bulletin_records(spark, d):
     relations = F.array_join(F.transform("relacoes", lambda r: F.concat_ws("=", r["tipoRelacao"], r["atoDestino"])), "; ").alias("relacoes")
     shown = "id tipoAto numero ano dataAssinatura orgaoEmissor ementa ementaInferida conteudoResumido processoSei seiDocumento boletimNumero linkBoletim notasInternas"
