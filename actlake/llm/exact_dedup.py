@@ -75,10 +75,18 @@ def group_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text an earlier id has too; the columns stay as they are.
+    """One row of each group of equal texts, of those with its smallest id; the columns stay as they are.
 
-    A row with a null id stays only where its whole group has null ids.
+    Rows are told apart by id and text together: two texts under one id are two groups. Of repeated rows with one id and text one
+    stays. A row with a null id stays only where its whole group has null ids, and then one of them does.
     """
-    own = fresh(docs, "kept_id")
-    kept = group_copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias(own)).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(own)), "left_semi")
+    own, digest, times = fresh(docs, "kept_id"), fresh(docs, "kept_digest"), fresh(docs, "kept_times")
+    found = group_copies(docs, id_col, text_col).filter("kept")
+    kept = cut(found.groupBy(F.col(id_col).alias(own), F.unhex("text_sha256").alias(digest)).agg(F.count(F.lit(1)).alias(times)))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.unhex(F.sha2(normalised(F.col(f"`{text_col}`")), 256)) == F.col(digest))
+    once = docs.join(kept.where(F.col(times) == 1), same, "left_semi")
+    again = kept.where(F.col(times) > 1)
+    if not again.take(1):
+        return once
+    repeated = docs.join(again, same).dropDuplicates([own, digest]).select([f"`{c}`" for c in docs.columns])
+    return once.unionByName(repeated)
