@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from actlake.llm import lm, quality, secrets, toxicity
 from actlake.llm.common import fold
@@ -128,6 +129,16 @@ def test_toxicity_on_held_out_rows(tables, odd, docs, spark):
     assert {round(r.score, 6) for r in toxicity.classify(odd, none, held).collect()} == {0.5}
 
 
+def test_the_sample_is_bounded_in_words(docs, spark):
+    rows = docs([(i, f"vile{i} words " * 50 if i % 2 else f"kind{i} words " * 50) for i in range(200)] + [(999, "vile " * 5000)])
+    marks = spark.createDataFrame([(i, i % 2) for i in [*range(200), 999]], "doc_id long, toxic int")
+    few = toxicity.train(rows, marks, F.col("doc_id").isNotNull(), max_words=10_000)
+    more = toxicity.train(rows, marks, F.col("doc_id").isNotNull())
+    assert {round(float(r.score), 6) for r in toxicity.classify(rows, toxicity.train(rows, marks, F.lit(True), max_words=0), F.lit(True)).collect()} == {0.5}
+    touched = lambda m: int((m.table != toxicity.fit([], np.zeros(0)).table).any(1).sum())
+    assert 0 < touched(few) < touched(more)
+
+
 def test_one_word_in_a_long_text_decides():
     rng = np.random.default_rng(1)
     text = lambda bad: " ".join([f"w{k}" for k in rng.integers(0, 400, 300)] + ["vilest"] * bad)
