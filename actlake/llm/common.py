@@ -50,14 +50,16 @@ def fresh(df: DataFrame, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    Where the setting is missing (tests, a laptop) a folder below the warehouse is taken, as executors share that.
+    Where the setting is missing a folder below the warehouse is taken in local mode (tests, a laptop); on a cluster, where that
+    could be a folder of one machine, a missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint()
 
 
