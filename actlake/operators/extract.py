@@ -137,7 +137,7 @@ def parse_loose(texts: DataFrame, text_col: str = "texto", this_year: int = 2026
 def form_defaults(rows: DataFrame) -> DataFrame:
     """Records typed into a form (numero, orgaoEmissor, ementa, tags as one text, ...): the required ones, with defaults filled in."""
     need = [F.coalesce(F.col(c), F.lit("")) != "" for c in ("numero", "orgaoEmissor", "ementa")]
-    split = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), F.trim), lambda t: t != "")
+    split = F.filter(F.transform(F.split(F.coalesce("tags", F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
     return rows.where(need[0] & need[1] & need[2]).withColumns(
         {
             "tags": split,

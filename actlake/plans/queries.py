@@ -517,10 +517,30 @@ def registrations_table(spark, d):
     return store.registrations_table(rows.select("id", F.transform("x", lambda x: x["p"]["siape"]).alias("siapes"), F.transform("x", lambda x: x["p"]).alias("pessoas")))
 
 
-@query("""SELECT CAST(ceil(count(*) / 200.0) AS BIGINT) AS instrucoes, count(*) AS linhas FROM part""")
+@query("""SELECT count(*) AS linhas, true AS cabem FROM part""")
 def insert_statements(spark, d):
-    made = writers.insert_statements(table(spark, d, "part").select("p_partkey", "p_name").coalesce(1), "atos", ["p_partkey"], 200, ["p_partkey"])
-    return made.agg(F.count(F.lit(1)).alias("instrucoes"), F.sum(F.size(F.split("value", "\n")) - 1).alias("linhas"))
+    made = writers.insert_statements(table(spark, d, "part").select("p_partkey", "p_name"), "atos", ["p_partkey"], 200, ["p_partkey"])
+    # how many statements there are depends on the ranges of keys; none has more than 200 rows
+    rows = F.size(F.split("value", "\n")) - 1
+    return made.agg(F.sum(rows).alias("linhas"), (F.max(rows) <= 200).alias("cabem"))
+
+
+_FORMS = """SELECT CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderkey AS {text}) END AS numero, o_orderpriority AS "orgaoEmissor", CASE WHEN o_orderkey % 8 > 0 THEN repeat(o_orderpriority, 20) ELSE '' END AS ementa,
+' a, ' || o_orderstatus || ' ,, b' AS tags, CASE WHEN o_orderkey % 2 = 0 THEN '  ' ELSE ' ' || CAST(o_custkey AS {text}) END AS "processoSei", CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE '' END AS "conteudoResumido" FROM orders"""
+
+
+@query(f"""WITH x AS ({duck(_FORMS)}) SELECT numero, 'a,' || trim(split_part(tags, ',', 2)) || ',b' AS tags, nullif(trim("processoSei"), '') AS "processoSei", coalesce(nullif("conteudoResumido", ''), left(ementa, 150) || '...') AS "conteudoResumido"
+FROM x WHERE numero IS NOT NULL AND ementa <> ''""")
+def form_records(spark, d):
+    rows = extract.form_defaults(of_tables(spark, d, _FORMS.replace('"', "`"), "orders"))
+    return rows.select("numero", F.array_join("tags", ",").alias("tags"), "processoSei", "conteudoResumido")
+
+
+@query(f"""WITH relations AS ({duck(ITEM_RELATIONS)}) SELECT ato_destino_id, CASE tipo_relacao WHEN 'Revoga' THEN 'Revogado por' WHEN 'Altera' THEN 'Alterado por' ELSE 'Referenciado por' END AS rotulo, count(*) AS vezes
+FROM relations WHERE ato_destino_id IS NOT NULL GROUP BY 1, 2""")
+def inverse_labels(spark, d):
+    seen = _relations(spark, d).where("ato_destino_id IS NOT NULL")
+    return seen.groupBy("ato_destino_id", T.inverse_relation(F.col("tipo_relacao")).alias("rotulo")).agg(F.count(F.lit(1)).alias("vezes"))
 
 
 # --- reading acts ---------------------------------------------------------------------------------------------------------------

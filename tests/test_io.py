@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from actlake.operators.extract import extract
 from actlake.plans.fixtures import BULLETIN
@@ -53,6 +54,43 @@ def test_links_and_pending(spark):
     assert [r.url for r in found.orderBy("ordem").collect()] == ["https://h/x.pdf", "https://b/x.pdf", "https://b/i/x.pdf", "http://o/x.pdf"]
 
 
+def test_manifest_and_pending(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"1-26.pdf": "https://h/a b.pdf", "2-26.pdf": "https://h/2.pdf"}))
+    manifest = readers.url_manifest(spark, str(tmp_path / "m.json"))
+    found = readers.pending(manifest, spark.createDataFrame([("2-26.pdf",)], "arquivo string")).collect()
+    assert [(r.arquivo, r.url) for r in found] == [("1-26.pdf", "https://h/a%20b.pdf")]
+
+
+def test_places_follow_the_order(spark):
+    rows = readers.in_order(spark.range(50).repartition(4).selectExpr("id", "-id AS by"), "by").orderBy("_idx").collect()
+    assert [r.id for r in rows] == list(range(49, -1, -1))
+
+
+def test_dump_of_a_year_clears_it_first(spark, tmp_path):
+    acts = spark.createDataFrame([("1-26-a", "x"), ("2-26-b", None)], "id string, t string")
+    children = spark.createDataFrame([("1-26-a", "7")], "ato_id string, siape string")
+    writers.dump({"atos": (acts, ["id"], 100), "ato_siapes": (children, ["ato_id"], 50)}, str(tmp_path / "d"), "26")
+    read = lambda part: "\n".join(r.value for r in spark.read.text(str(tmp_path / "d" / part)).collect())
+    assert read("atos/0-clear") == "DELETE FROM `atos` WHERE `id` REGEXP '^[0-9]+-26[^0-9]';"
+    assert "`ato_id` REGEXP" in read("ato_siapes/0-clear") and "('1-26-a','7')" in read("ato_siapes/1-rows")
+    assert "('1-26-a','x')" in read("atos/1-rows") and "('2-26-b',NULL)" in read("atos/1-rows")
+
+
+def test_tables_by_year_replace_only_their_years(spark, tmp_path):
+    path = str(tmp_path / "t")
+    load = lambda rows: writers.year_tables(spark.createDataFrame(rows, "id string, v int"), path, F.split_part("id", F.lit("-"), F.lit(2)))
+    load([("1-25", 1), ("1-26", 1)])
+    load([("2-26", 2)])
+    assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [("1-25", 1), ("2-26", 2)]
+
+
+def test_page_of_holders_escapes(spark, tmp_path):
+    holders = spark.createDataFrame([("B & C", "Chefe", "Ana <x>", "1", None), ("A", "Chefe", "Zé", "2", "2026-01-01")], "unidade string, cargo string, nome string, siape string, desde string")
+    writers.holders_page(holders, str(tmp_path / "h"))
+    page = [r.value for r in spark.read.text(str(tmp_path / "h")).collect()]
+    assert page == ["<tr><td>A</td><td>Chefe</td><td>Zé</td><td>2</td><td>2026-01-01</td></tr>", "<tr><td>B &amp; C</td><td>Chefe</td><td>Ana &lt;x&gt;</td><td>1</td><td></td></tr>"]
+
+
 def test_fallback_sources(spark, tmp_path):
     assert readers.load_acts(spark, lambda s: readers.portal_array(s, str(tmp_path / "missing"))).count() == 3
 

@@ -94,6 +94,12 @@ def test_keys_dodge_natural_suffixes(spark):
     assert ids[0] == "x-p-ato-1-2" and ids[2] == "x-p-ato-1-2-2" and len(set(ids)) == 3
 
 
+def test_keys_are_numbered_alike_in_any_slices(spark):
+    acts = spark.sql("SELECT id * 3 AS _idx, 'x.pdf' AS arquivo, 'P' AS tipo, '' AS sigla, CAST(id % 2 AS STRING) AS numero, '26' AS ano FROM range(40)").repartition(5)
+    ids = [[r.id for r in convert.stable_keys(acts, slice_size=n).orderBy("_idx").collect()] for n in (7, convert.SLICE)]
+    assert ids[0] == ids[1] == [f"x-p-ato-{k % 2}-26" + (f"-{k // 2 + 1}" if k > 1 else "") for k in range(40)]
+
+
 def test_static_and_sheet_searches_differ(spark):
     schema = "_idx int, numero string, ementa string, processoSei string, orgaoEmissor string, conteudoResumido string, tags array<string>, textoBusca string, siapes array<string>"
     r = spark.createDataFrame([(0, "1", "Altera", None, "PROEX", "x", ["verde"], "corpo 123456", ["7"])], schema)
