@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,22 +48,34 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    Where the setting is missing a folder below the warehouse is taken in local mode (tests, a laptop); on a cluster, where that
-    could be a folder of one machine, a missing setting is an error.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> None:
+    """Sets the session's checkpoint folder, unless it has one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the folder that spark.checkpoint.dir names.
+
+    Where the setting is missing a folder below the warehouse is taken in local mode (tests, a laptop); on a cluster, where that
+    could be a folder of one machine, a missing setting is an error.
+    """
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the folder that ``cut`` uses, and read again: later steps read only the columns they use."""
+    _shared_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and bytes of an Arrow string or binary array; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):

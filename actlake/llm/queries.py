@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from actlake.llm import ann, exact_dedup, lm, neardup, packing, pieces, quality, secrets, token_counts, toxicity
+from actlake.llm import alignment, ann, byte_bpe, divergence, exact_dedup, lm, neardup, packing, pieces, quality, secrets, token_counts, toxicity
 from actlake.llm.common import documents, fold, labels, tokenizer
 
 
@@ -91,6 +91,60 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model, held_out)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), occurrences AS (
+  SELECT d, lang, source, unnest(w) AS term FROM docs
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM occurrences GROUP BY ALL
+), vocabulary AS (
+  SELECT lang, term FROM occurrences GROUP BY ALL HAVING count(DISTINCT d) >= 30
+), sizes AS (
+  SELECT lang, count(*) AS v FROM vocabulary GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), dense AS (
+  SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n
+  FROM groups g JOIN vocabulary v USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), shares AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p
+  FROM dense JOIN sizes USING (lang)
+), totals AS (
+  SELECT lang, term, sum(n) AS n FROM dense GROUP BY ALL
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM totals JOIN sizes USING (lang)
+), pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+  FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), every AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(p.value, 0) AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN pairs p ON p.lang = x.lang AND p.source = x.source AND p.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -103,8 +157,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op6_minhash_dedup": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL}
