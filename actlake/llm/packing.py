@@ -12,7 +12,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,18 +133,22 @@ def pack(parts: DataFrame, size: int = SIZE, shard_rows: int = SHARD_ROWS) -> Da
     parts = cut(parts)
     shards = max(1, -(-parts.count() // shard_rows))
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"])
-        where, frame["offset"] = sum_of_squares(frame["length"].to_numpy(), size)
-        frame["sequence_id"] = where * shards + int(frame["_shard"].iloc[0])
-        return frame.drop(columns="_shard")
+    def place(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
+        where, offset = sum_of_squares(shard["length"].to_numpy(), size)
+        sequence = where * shards + shard["_shard"][0].as_py()
+        return shard.drop_columns("_shard").append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     # the hash takes in every column, as ids may repeat
     dealt = parts.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, offset long, sequence_id long"
-    return dealt.groupBy("_shard").applyInPandas(place, schema).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return dealt.groupBy("_shard").applyInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are a piece of the end id alone; a very long text is cut into as many pieces as it needs; rows that repeat are
+    packed each; a null id stays null and changes no other; pieces of equal length go in the order of id, piece and digest; an empty
+    table gives an empty one; other columns are not read.
+    """
     return pack(pieces(docs, path, size), size, shard_rows)

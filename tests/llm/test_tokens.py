@@ -68,6 +68,40 @@ def test_sequences_hold_every_piece_once(odd, docs):
     assert packing.pack_documents(odd, WORDS).where("doc_id = 6").count() == 2 and packing.pack_documents(docs([]), WORDS).count() == 0
 
 
+def test_large_ids_beside_a_null_one(docs):
+    big = [(1 << 60) + 1, (1 << 60) + 3, None, None, 5]
+    found = packing.pack_documents(docs([(i, f"text {k}") for k, i in enumerate(big)]), WORDS).collect()
+    assert sorted(r.doc_id or 0 for r in found) == sorted(i or 0 for i in big) and len({r.sequence_id for r in found}) == 1
+
+
+def plain_places(lengths, size):
+    """The rule over all open sequences: longest first, to where the sum of squared counts by gap is smallest, then the smallest gap."""
+    gaps, places = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        best = None
+        for k, gap in enumerate(gaps):
+            if gap >= lengths[i]:
+                after = [*gaps[:k], gap - lengths[i], *gaps[k + 1 :]]
+                cost = sum(after.count(g) ** 2 for g in set(after) if g)
+                if best is None or (cost, gap) < best[:2]:
+                    best = (cost, gap, k)
+        if best is None:
+            gaps.append(size)
+            best = (0, size, len(gaps) - 1)
+        places[i] = best[1]
+        gaps[best[2]] -= lengths[i]
+    return gaps, places
+
+
+def test_places_equal_a_plain_rule():
+    for seed in range(5):
+        lengths = np.random.default_rng(seed).integers(1, 33, 60)
+        gaps, places = plain_places(lengths.tolist(), 32)
+        where, offset = packing.sum_of_squares(lengths, 32)
+        filled = np.bincount(where, lengths).astype(int)
+        assert sorted(32 - filled) == sorted(gaps) and [32 - o for o in offset.tolist()] == [places[i] for i in range(60)]
+
+
 def test_packing_is_about_as_tight_as_it_can_be():
     lengths = np.random.default_rng(0).integers(1, 4097, 3000)
     gaps, opened = [], 0
