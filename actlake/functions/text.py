@@ -15,6 +15,8 @@ from actlake.functions import vocabulary as V
 
 _ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 _PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: What separates the words of a search.
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 EDGES = r"^[\s/.,\-()]+|[\s/.,\-()]+$"
 
 
@@ -28,6 +30,11 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), _ACCENTED, _PLAIN)
 
 
+def fold_plain(s: str) -> str:
+    """``fold`` of a plain string."""
+    return s.lower().translate(str.maketrans(_ACCENTED, _PLAIN))
+
+
 def filled(c: Column) -> Column:
     """The value, or null where it is empty."""
     return F.when(c != "", c)
@@ -379,7 +386,7 @@ def query_tokens(query: str) -> list[str]:
 
 def has_prefixes(text: Column, tokens: list[str]) -> Column:
     """Every token begins some word of the text, whatever the case and accents."""
-    words = F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+")
+    words = F.split(fold(F.coalesce(text, F.lit(""))), BETWEEN_WORDS)
     begins = lambda ws, t: F.exists(ws, lambda w: F.startswith(w, fold(F.lit(t))))
     return once(words, lambda ws: reduce(lambda a, b: a & b, [begins(ws, t) for t in tokens]))
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actlake.functions import text as T
 from actlake.functions import vocabulary as V
+from actlake.operators.postings import TextIndex
 
 SORTS = {"data_ato", "ano", "tipo", "sigla", "numero", "status"}
 PAGE, LARGEST_PAGE = 50, 200
@@ -72,8 +74,8 @@ def like(c: Column, query: str) -> Column:
 
 
 def same_text(c: Column, value: str) -> Column:
-    """Equal whatever the case, accents and trailing blanks."""
-    return T.fold(F.rtrim(c)) == T.fold(F.rtrim(F.lit(value)))
+    """Equal whatever the case, accents and trailing blanks, in any script."""
+    return F.collate(c, "UNICODE_CI_AI_RTRIM") == F.collate(F.lit(value), "UNICODE_CI_AI_RTRIM")
 
 
 def search(numbers: list[Column], texts: list[Column], query: str) -> Column:
@@ -86,11 +88,27 @@ def search(numbers: list[Column], texts: list[Column], query: str) -> Column:
     return hit | T.has_prefixes(F.concat_ws(" ", *texts), tokens) if tokens else hit
 
 
-def filtered(acts: DataFrame, params: ListParams, bodies: DataFrame, registrations: DataFrame, relations: DataFrame) -> DataFrame:
-    """Acts that all given filters hold for. Filters on child tables are semi-joins; either-way relations one existence join."""
+def indexed_search(rows: DataFrame, numbers: list[Column], query: str, index: TextIndex) -> DataFrame:
+    """``search`` with the words looked up in a posting table of the rows' texts."""
+    found = index.search(query)
+    hit = reduce(lambda a, b: a | b, [F.coalesce(like(c, query.strip()), F.lit(False)) for c in numbers], F.lit(False))
+    if found is None:
+        return rows.where(hit)
+    return rows.join(found.select("id", F.lit(True).alias("_said")), "id", "left").where(hit | F.coalesce("_said", F.lit(False))).drop("_said")
+
+
+def filtered(acts: DataFrame, params: ListParams, bodies: DataFrame, registrations: DataFrame, relations: DataFrame, texts: TextIndex | None = None, names: TextIndex | None = None) -> DataFrame:
+    """Acts that all given filters hold for. Filters on child tables are semi-joins; either-way relations one existence join.
+
+    ``texts`` and ``names``: posting tables of the summaries and of the bodies; without one the texts are read.
+    """
     rows = acts
     if params.busca.strip():
-        rows = rows.where(search([F.col(c) for c in ("numero", "identificador", "processo_sei") if c in acts.columns], [F.col("ementa"), F.col("conteudo_resumido")], params.busca))
+        numbers = [F.col(c) for c in ("numero", "identificador", "processo_sei") if c in acts.columns]
+        if texts is not None:
+            rows = indexed_search(rows, numbers, params.busca, texts)
+        else:
+            rows = rows.where(search(numbers, [F.col("ementa"), F.col("conteudo_resumido")], params.busca))
     for column, value in (("tipo", params.tipo), ("sigla", params.orgao), ("status", params.status)):
         if _asked(value):
             rows = rows.where(same_text(F.col(column), value.strip()))
@@ -98,8 +116,11 @@ def filtered(acts: DataFrame, params: ListParams, bodies: DataFrame, registratio
         rows = rows.where(F.col("ano") == _number(params.ano, 0))
     if name := params.nome.strip():
         tokens = T.query_tokens(name)
-        said = T.has_prefixes(F.col("texto"), tokens) if tokens else like(F.col("texto"), name)
-        rows = rows.join(bodies.where(said).select(F.col("ato_id").alias("id")), "id", "left_semi")
+        if tokens and names is not None:
+            said = names.search(name)
+        else:
+            said = bodies.where(T.has_prefixes(F.col("texto"), tokens) if tokens else like(F.col("texto"), name)).select(F.col("ato_id").alias("id"))
+        rows = rows.join(said, "id", "left_semi")
     if digits := re.sub(r"\D", "", params.siape):
         rows = rows.join(registrations.where(F.contains("siape", F.lit(digits))).select(F.col("ato_id").alias("id")), "id", "left_semi")
     if _on(params.com_sei):
@@ -127,6 +148,13 @@ def sorted_page(rows: DataFrame, params: ListParams, tie: str = "id") -> DataFra
     return rows.orderBy(order, F.asc(tie)).offset((params.number - 1) * params.size).limit(params.size)
 
 
+def sheet_order(rows: DataFrame, column: str, ascending: bool = True, place: str = "_idx") -> list[Column]:
+    """Order of the spreadsheet by a column: text as a reader expects it, missing values first going up and last going down, equal ones
+    as they were (by ``place``)."""
+    key = F.collate(F.col(column), "UNICODE") if rows.schema[column].dataType.typeName() == "string" else F.col(column)
+    return [key.asc_nulls_first() if ascending else key.desc_nulls_last(), F.asc(place)]
+
+
 def relation_kinds(relations: DataFrame) -> DataFrame:
     """(id, relTipos): sorted distinct kinds of an act's relations."""
     return relations.groupBy(F.col("ato_id").alias("id")).agg(F.array_sort(F.collect_set("tipo_relacao")).alias("relTipos"))

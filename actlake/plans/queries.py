@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from actlake.functions import text as T
 from actlake.functions import vocabulary as V
-from actlake.operators import convert, extract, listing, resolve, store
+from actlake.operators import convert, extract, listing, loads, resolve, store
+from actlake.operators.paging import PagedList
+from actlake.operators.postings import TextIndex
 from actlake.plans.fixtures import (
     ACTS, BULLETIN, EVENT_ROLES, ITEM_RELATIONS, ORDER_ACTS, ORDER_PARTS, PARTS_AS_PAGES, RELATIONS, ROLES, SCALARS, duck, of_tables, sql, table,
 )
 from actlake.sources import readers, writers
+from actlake.sources.versions import VersionedStore, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -88,6 +91,36 @@ def list_sort_date(spark, d):
     return listing.sorted_page(_acts(spark, d), P(ordenar="nada", dir="asc", por_pagina="7", pagina="3")).select("id", F.col("data_ato").cast("string").alias("data_ato"))
 
 
+@query(f"WITH {_TABLES} SELECT id, CAST(data_ato AS VARCHAR) AS data_ato, row_number() OVER (ORDER BY acts.data_ato DESC NULLS LAST, id) - 14600 AS n FROM acts ORDER BY acts.data_ato DESC NULLS LAST, id LIMIT 50 OFFSET 14600")
+def deep_page(spark, d):
+    pages = PagedList(VersionedStore(spark, shared_folder(spark)), [F.col("data_ato").desc_nulls_last(), F.asc("id")])
+    pages.build(_acts(spark, d).select("id", "data_ato"), ranges=64)
+    page = pages.page(293, 50)
+    return page.select("id", F.col("data_ato").cast("string").alias("data_ato"), F.row_number().over(listing.Window.orderBy(*pages.order)).cast("long").alias("n"))
+
+
+#: Names with capitals, accents and missing values; the comparing engine sorts by letters, then accents, then small before capital.
+_SHEET = """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, 'e', 'é') ELSE p_name END AS ementa FROM part"""
+_SHEET_KEYS = "strip_accents(lower(ementa)) {0}, lower(ementa) {0}, (ementa = upper(ementa)) {0}, id"
+
+
+def _sheet(spark: SparkSession, d: str, ascending: bool) -> DataFrame:
+    rows = of_tables(spark, d, _SHEET, "part")
+    pages = PagedList(VersionedStore(spark, shared_folder(spark)), listing.sheet_order(rows, "ementa", ascending, "id"))
+    pages.build(rows, ranges=16)
+    return pages.places().select("id", "ementa", "lugar")
+
+
+@query(f"SELECT id, ementa, row_number() OVER (ORDER BY ementa IS NOT NULL, {_SHEET_KEYS.format('ASC')}) AS lugar FROM ({_SHEET}) AS x")
+def sheet_sort_up(spark, d):
+    return _sheet(spark, d, True)
+
+
+@query(f"SELECT id, ementa, row_number() OVER (ORDER BY ementa IS NULL, {_SHEET_KEYS.format('DESC')}) AS lugar FROM ({_SHEET}) AS x")
+def sheet_sort_down(spark, d):
+    return _sheet(spark, d, False)
+
+
 @query(f"""WITH {_TABLES} SELECT id FROM acts WHERE EXISTS (SELECT 1 FROM relations r WHERE r.ato_id = acts.id AND tipo_relacao = 'Revoga')
 OR EXISTS (SELECT 1 FROM relations r WHERE r.ato_destino_id = acts.id AND tipo_relacao = 'Revoga')""")
 def list_with_relations(spark, d):
@@ -141,6 +174,37 @@ def search_boolean_prefix(spark, d):
     return docs.where(listing.search([F.col("source")], [F.col("text")], "and +thon*")).select("doc_id")
 
 
+def _document_index(spark: SparkSession, d: str) -> TextIndex:
+    """Postings of all documents in three loads: two parts of them, of which one comes with other texts first and is loaded anew."""
+    docs, text = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), [F.col("text")]
+    index = TextIndex(VersionedStore(spark, shared_folder(spark)))
+    first = docs.where("id % 3 != 0").withColumn("text", F.when(F.col("id") % 3 == 1, F.concat("text", F.lit(" andante thonante queauante"))).otherwise(F.col("text")))
+    index.build(first, text)
+    index.update(docs.where("id % 3 = 0"), text)
+    index.update(docs.where("id % 3 = 1"), text)
+    return index
+
+
+@query(f"""SELECT doc_id FROM documents WHERE strip_accents(lower(source)) LIKE '%and +thon*%' OR
+(len(list_filter({_texts('text')}, lambda w: starts_with(w, 'and'))) > 0 AND len(list_filter({_texts('text')}, lambda w: starts_with(w, 'thon'))) > 0)""")
+def search_by_postings(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    return listing.indexed_search(docs, [F.col("source")], "and +thon*", _document_index(spark, d)).select(F.col("id").alias("doc_id"))
+
+
+@query(f"SELECT doc_id AS id FROM documents WHERE len(list_filter({_texts('text')}, lambda w: starts_with(w, 'queau'))) > 0")
+def name_by_postings(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return listing.filtered(docs, P(nome="Quéau"), docs, docs, docs, names=_document_index(spark, d))
+
+
+@query(f"SELECT t.token, count(*) AS documentos FROM (SELECT doc_id, unnest(list_distinct({_texts('text')})) AS token FROM documents) AS t WHERE token <> '' GROUP BY 1")
+def posting_counts(spark, d):
+    index = _document_index(spark, d)
+    index.compact()
+    return index.store.read("postings").groupBy("token").agg(F.count(F.lit(1)).alias("documentos"))
+
+
 @query("SELECT p_partkey FROM part WHERE lower(p_brand) LIKE '%b_a%1%'")
 def search_like(spark, d):
     return table(spark, d, "part").where(listing.search([F.col("p_brand")], [F.col("p_name")], "b_a%1") & listing.like(F.col("p_brand"), "b_a%1")).select("p_partkey")
@@ -284,6 +348,30 @@ def resolve_parts(spark, d):
     return resolve.outcome_counts(resolve.resolve_citations(acts, relations))
 
 
+#: Parts as dated acts and line items as their citations, which kinds, issuers and numbers make resolvable, ambiguous, external or unreadable.
+_PART_ACTS = """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'Portaria' WHEN 1 THEN 'Resolução' ELSE 'Decisão' END AS tipo, upper(p_type) AS sigla,
+  CAST(p_partkey % 500 AS {text}) AS numero, CASE WHEN p_partkey % 7 > 0 THEN CAST(date '2000-01-01' + CAST(p_partkey * 37 % 900 AS INT) AS DATE) END AS data_ato, 'Ativo' AS status FROM part"""
+_PART_CITATIONS = """SELECT DISTINCT l_partkey * 1000000 + l_suppkey AS rel_id, l_partkey AS ato_id, CASE l_suppkey % 3 WHEN 0 THEN 'Revoga' WHEN 1 THEN 'Altera' ELSE 'Cita' END AS tipo_relacao,
+  CASE l_suppkey % 11 WHEN 0 THEN 'Portaria MEC nº 7' WHEN 1 THEN 'Lei 8112' ELSE CASE l_suppkey % 3 WHEN 0 THEN 'Portaria' WHEN 1 THEN 'Resolução' ELSE 'Decisão' END
+  || CASE WHEN l_partkey % 2 = 0 THEN ' SMALL' ELSE '' END || ' nº 0' || CAST((l_partkey * 31 + l_suppkey * 17) % 500 AS {text}) END AS ato_destino_texto FROM lineitem"""
+_PARTS_RESOLVED = _RESOLVED.replace(f"acts AS ({ACTS})", f"acts AS ({duck(_PART_ACTS)})").replace(f"relations AS ({RELATIONS})", f"relations AS ({duck(_PART_CITATIONS)})")
+
+
+def _parts_in_loads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    acts, cited = of_tables(spark, d, _PART_ACTS, "part"), of_tables(spark, d, _PART_CITATIONS, "lineitem")
+    return loads.resolved_in_loads(spark, acts, cited, "CASE WHEN id % 10 < 7 THEN 0 WHEN id % 10 < 9 THEN 1 ELSE 2 END", 3)
+
+
+@query(f"{_PARTS_RESOLVED} SELECT rel_id, ato_id, tipo_relacao, desfecho = 'externo' AS externo, ato_destino_id FROM resolved")
+def links_after_loads(spark, d):
+    return _parts_in_loads(spark, d)[1].select("rel_id", "ato_id", "tipo_relacao", "externo", "ato_destino_id")
+
+
+@query(_PARTS_RESOLVED + _VALIDITY.format(relations="resolved"))
+def validity_after_loads(spark, d):
+    return _parts_in_loads(spark, d)[0].select("id", "status")
+
+
 @query(f"WITH {_TABLES}" + _VALIDITY.format(relations="relations"))
 def validity_status(spark, d):
     return resolve.validity(_acts(spark, d), _relations(spark, d))
