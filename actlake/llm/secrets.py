@@ -1,9 +1,9 @@
 """Secret scan in DataFrame operations only: three fixed patterns, and two character Markov models for what they miss.
 
 A run of token characters outside the fixed patterns counts as a secret when its log-likelihood under a bigram model of random
-strings exceeds that under a model of ordinary identifiers by ``min_bits``. Both models are counted by Spark from labelled
-samples: random strings are made by hash functions and taken from the fixed patterns' hits, ordinary ones are the words of a
-bounded sample of documents. The driver gets the two tables of bigram counts (at most 2 x 95 x 95 rows).
+strings exceeds that under a model of ordinary identifiers by ``min_bits`` and by BITS_EACH for each character. Both models are
+counted by Spark from labelled samples: random strings are made by hash functions and taken from the fixed patterns' hits, ordinary
+ones are the words of a bounded sample of documents and names as programs write them. The driver gets the two tables of bigram counts (at most 2 x 95 x 95 rows).
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ KINDS = ("assign", "access", "hex", "markov")
 _LONG = {"access": ACCESS.replace("+", f"{{{MIN_ACCESS - 4},}}"), "hex": HEX.replace("+", f"{{{MIN_HEX},}}")}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 MIN_BITS = 16.0
+#: Bits that a secret has for each of its characters; set on samples that no model has seen (README: error rates).
+BITS_EACH = 1.5
 SAMPLE_DOCUMENTS = 3000
 _WIDTH = 95
 MASK = "[SECRET]"
@@ -96,11 +98,54 @@ def generated(spark: SparkSession, n: int = 4000) -> DataFrame:
     return spark.range(n).select(F.lit("random").alias("kind"), s.alias("s"))
 
 
+# Words that names in programs are made of.
+NAME_WORDS = """account action active add admin agent alert all api app array async auth backup base batch binary body buffer build button byte cache call
+cancel certificate channel check class client close cloud code collection column command commit common config connection container content context controller
+copy core count create credential current custom data database date debug decode default delete deploy description device dialog directory document domain
+download driver dynamic edit element email enable encode endpoint entity entry environment error event example exception execute export factory false field file
+filter final find first flag folder format frame function gateway generate get global graph group handler hash header height helper history host http icon image
+impl import index info init input instance integer interface internal invalid item java job json jquery keyboard label language layout length level library limit
+link list listener load local location lock log login manager map master max memory menu message method metric migrate min mode model module monitor mutex name
+network next node notification null number object offset open operator option order org output owner package page panel parent parse password path payload
+permission platform plugin pointer policy pool port prefix process product profile project property protocol provider proxy public query queue random range
+read record redirect refresh region register release remote remove render report repository request require reset resource response result retry return role root
+route row rule runtime sample save schedule schema scope script search section select send sequence serializer server service session set setting shape signature
+size socket sort source spec stack start state static status step storage store stream string style submit subscription success switch sync system table tag target
+task template test text thread time timeout title token tool topic total trace transaction transform tree trigger type unique update upload url user utility uuid
+valid value variable vector version view visible wait warning weight widget window worker wrapper write xml yaml zone"""
+#: Words that one name is made of, at most.
+_NAME = 5
+
+
+def names(words: DataFrame) -> DataFrame:
+    """Ordinary names made of the words (arrays ``w``, up to five each) in the ways that programs write them, one for each way."""
+    w = F.filter("w", lambda x: x.rlike("^[A-Za-z]{2,}$"))
+    low = F.transform(w, lambda x: F.lower(x))
+    camel = F.array_join(F.transform(low, lambda x: F.initcap(x)), "")
+    lead = F.concat(F.get(low, F.lit(0)), F.array_join(F.transform(F.slice(low, 2, _NAME), lambda x: F.initcap(x)), ""))
+    digest = F.md5(F.array_join("w", " "))
+    groups = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    made = [
+        camel, lead, F.array_join(low, "_"), F.array_join(low, "-"), F.upper(F.array_join(low, "_")), F.concat(F.array_join(F.slice(low, 1, 3), "/"), F.lit("/"), camel),
+        F.concat(camel, F.pmod(F.hash("w"), F.lit(100)).cast("string")), groups,
+    ]
+    return words.where(F.size(w) > 1).select(F.lit("ordinary").alias("kind"), F.explode(F.array(*made)).alias("s"))
+
+
+def named(spark: SparkSession, n: int = 4000) -> DataFrame:
+    """``names`` made of NAME_WORDS, picked by hashes, and runs of one character."""
+    words = F.split(F.lit(" ".join(NAME_WORDS.split())), " ")
+    pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(NAME_WORDS.split()))) + 1).cast("int"))
+    made = names(spark.range(n).select(F.slice(F.array(*map(pick, range(_NAME))), F.lit(1), (F.col("id") % 3 + 3).cast("int")).alias("w")))
+    runs = spark.range(n).select(F.lit("ordinary").alias("kind"), F.repeat(F.char(F.col("id") % 94 + 33), F.lit(24)).alias("s"))
+    return made.unionByName(runs)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_documents: int = SAMPLE_DOCUMENTS) -> list[float]:
     """Log-likelihood ratios in bits, random over ordinary, at place (a - 32) * 95 + b - 32 for codes a, b.
 
-    The ordinary sample holds the words of ``sample_documents`` documents, those with the smallest hash of the id; words in
-    which a fixed pattern finds something count as random. Without documents the ordinary model is uniform.
+    The ordinary sample holds the words of ``sample_documents`` documents, those with the smallest hash of the id, names in the ways of
+    programs made of these words, and names made of a fixed list of words; words in which a fixed pattern finds something count as random.
     """
     ids = docs.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample_documents)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id")
@@ -109,7 +154,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     value = F.regexp_extract("s", r"([A-Za-z0-9+/_-]{16,}=*)$", 1)
     secret = F.col("s").rlike(_LONG["access"]) | F.col("s").rlike(_LONG["hex"]) | (F.col("s").rlike(ASSIGN) & (F.length(value) > 0))
     seen = words.select(F.when(secret, "random").otherwise("ordinary").alias("kind"), F.when(secret, value).otherwise(F.col("s")).alias("s"))
-    samples = seen.unionByName(generated(docs.sparkSession)).where(F.length("s") > 1)
+    own = F.split(F.coalesce("_text", F.lit("")), r"[^A-Za-z]+")
+    fives = F.transform(F.sequence(F.lit(0), F.greatest(F.size(own) - 1, F.lit(0)), F.lit(20 * _NAME)), lambda i: F.slice(own, i + 1, F.lit(_NAME)))
+    made = names(texts.select(F.explode(fives).alias("w")))
+    samples = seen.unionByName(generated(docs.sparkSession)).unionByName(made).unionByName(named(docs.sparkSession)).where(F.length("s") > 1)
     counts = {k: [0.5] * (_WIDTH * _WIDTH) for k in ("random", "ordinary")}
     for r in _bigrams(samples).where((F.col("a").between(32, 126)) & (F.col("b").between(32, 126))).collect():
         counts[r.kind][(r.a - 32) * _WIDTH + r.b - 32] += r.n
@@ -129,7 +177,7 @@ def ratio(hit: Column, model: list[float]) -> Column:
 
 
 def added_spans(text: Column, base: Column, model: list[float], min_bits: float = MIN_BITS) -> Column:
-    """Spans that only the Markov models find: candidates clear of all base spans with a ratio of ``min_bits`` or more."""
+    """Spans that only the Markov models find: candidates clear of all base spans whose ratio reaches ``min_bits`` and BITS_EACH a character."""
 
     def clear(spans: Column) -> Column:
         # a base span that starts no later reaches into a span if it ends within it; one that starts later if it starts within it
@@ -140,7 +188,7 @@ def added_spans(text: Column, base: Column, model: list[float], min_bits: float
         free = F.zip_with(spans, F.arrays_zip(ends.alias("end"), next_start.alias("start")), lambda s, near: F.struct(s.alias("s"), ((near["end"] <= s["start"]) & (near["start"] >= s["end"])).alias("free")))
         return F.transform(F.filter(free, lambda x: x["free"] & ~is_base(x["s"])), lambda x: x["s"])
 
-    found = _hits(text, CANDIDATE, len(KINDS) - 1, lambda hit: ratio(hit, model) >= min_bits)
+    found = _hits(text, CANDIDATE, len(KINDS) - 1, lambda hit: ratio(hit, model) >= F.greatest(F.lit(min_bits), BITS_EACH * F.length(hit)))
     return _let(found, lambda new: F.when((F.size(new) > 0) & (F.size(base) > 0), _let(F.array_sort(F.concat(base, new)), clear)).otherwise(new))
 
 
