@@ -1,14 +1,22 @@
 """Scoring by a bigram language model whose counts sit in a log-frequency Bloom filter.
 
 After D. Talbot and M. Osborne, Smoothed Bloom filter language models (EMNLP 2007): an n-gram with quantised log count q is entered
-q times, once for each level, and its count is read by probing level after level until one is missing. The filter holds bigram
-counts and, for every context, its bigram tokens and types, from which Witten-Bell smoothing follows. Every training bigram is in
-it, so it grows with the corpus; it is cut into segments by ranges of the keys' hashes, each made and probed in its range's task.
+q times, once for each level, and its count is read by probing level after level until one is missing. The filter is built once,
+from training counts only, and holds every training bigram's count and every context's number of different successors, from which
+Witten-Bell smoothing follows. A context's tokens need no entry: they are the exact count of its word, which the base score needs anyway.
+
+The filter is cut into segments by ranges of the keys' hashes, each built in its range's task. While all segments together are at
+most ``FILTER_BYTES`` (their sizes are summed first) they are broadcast and the tasks that score texts probe them; beyond that the
+blocks send their keys to the segments' tasks and get levels back. Bits and answers are the same, only the transport differs.
+
+An entry takes k / 0.69 bits for k probes, half of the bits are set, and a key that isn't held is found with a chance of 2^-k. A
+context could so be followed by V / 2^k words too many, V the vocabulary; k is such that this is at most an eighth. Counts are
+taken as the least of their level, and the expected false successors count in the denominator: the chances of one context
+sum to at most 1 in expectation. The score differs from exact Witten-Bell by what rounding down to a level loses.
 
 Texts are tokenised once, into blocks of documents: a block holds the hashes of its distinct words and its tokens as places in
 that list. Words' exact counts come back to the blocks that asked for them: each block sends its sorted hashes, cut by ranges, to the
-ranges' tasks and gets the counts in the same order; levels of bigrams and contexts come back in the same way. So a word crosses
-the network once for each block, not for each token.
+ranges' tasks and gets the counts in the same order. So a word crosses the network once for each block, not for each token.
 """
 
 from __future__ import annotations
@@ -27,10 +35,12 @@ from actlake.llm.common import Words, buffers, cut, mix, steps
 BLOCK_BYTES = 12 << 20
 #: Tokens that one range of hashes gets, on average.
 RANGE_TOKENS = 6_000_000
-PROBES = 4
+#: All segments together may be broadcast up to this size.
+FILTER_BYTES = 64 << 20
+LEAST_PROBES = 8
 #: Share of set bits that a segment is sized for is a half.
 FULL = 0.69
-BIGRAM_BASE, CONTEXT_BASE = 2.0, 1.5
+BIGRAM_BASE, CONTEXT_BASE = 1.5, 1.2
 END, START = np.uint64(0xE17D), np.uint64(0x57A7)  # hashes of the marks around a text
 _BLOCK = "block long, docs array<long>, held array<boolean>, lengths array<int>, tokens binary, words binary, counts binary"
 _ZSTD = pa.Codec("zstd")
@@ -185,38 +195,45 @@ def _merged(items: list[np.ndarray], *values: list[np.ndarray]) -> tuple[np.ndar
     return own, at, *(np.bincount(at, np.concatenate(v), len(own)).astype(np.int64) for v in values)
 
 
-def bigram_levels(found: DataFrame, ranges: int) -> DataFrame:
-    """(block, range, levels, own, tokens, types): the levels of each block's distinct bigrams, in the order of their keys.
+def probes_for(words: int) -> int:
+    """Probes with which a context has at most an eighth of a false successor among ``words`` words, on average."""
+    return max(LEAST_PROBES, int(np.ceil(np.log2(8 * (words + 1)))))
 
-    Rows with block -1 have, for a range of contexts, training tokens and types of some of their bigrams.
-    """
 
-    def ask(block: int, held: list, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
+def _sized(keys: np.ndarray, level: np.ndarray, probes: int) -> bytes:
+    return segment(keys, level, int(int(level.sum()) * probes / FULL) // 64 * 64 + 64, probes)
+
+
+def segments(found: DataFrame, ranges: int, probes: int) -> DataFrame:
+    """(kind, range, bits): the filter's segments, of bigrams (kind 0) and of contexts (kind 1), from training documents."""
+
+    def counted(held: list, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
         length = np.array(lengths)
         flat = _words(words)[_unpacked(tokens, np.uint32)]
-        keys, at = np.unique(pair_keys(_before(flat, length), flat), return_inverse=True)
-        n = np.bincount(at[np.repeat(~np.array([bool(h) for h in held]), length)], minlength=len(keys)).astype(np.uint32)
+        trained = np.repeat(~np.array([bool(h) for h in held]), length)
+        keys, n = np.unique(pair_keys(_before(flat, length), flat)[trained], return_counts=True)
         ends = _cuts(keys, ranges)
         for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if a < b:
-                yield block, k, _packed(_gaps(keys[a:b])), _packed(n[a:b])
+                yield k, _packed(_gaps(keys[a:b])), _packed(n[a:b].astype(np.uint32))
 
-    def answer(g: dict) -> Iterator[tuple]:
-        asked = [_words(x) for x in g["keys"]]
-        keys, at, total = _merged(asked, [_unpacked(x, np.uint32) for x in g["counts"]])
-        level = _levels_of([(keys, total, BIGRAM_BASE)])[0]
-        for block, held in zip(g["block"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
-            yield block, g["range"][0], _packed(level[held].astype(np.uint8)), b"", b"", b""
-        trained = total > 0
-        own, at = np.unique(contexts_of(keys[trained]), return_inverse=True)
-        tokens, types = np.bincount(at, total[trained], len(own)).astype(np.int64), np.bincount(at, minlength=len(own))
-        ends = _cuts(own << np.uint64(32), ranges)
+    def bigrams(g: dict) -> Iterator[tuple]:
+        keys, _, n = _merged([_words(x) for x in g["keys"]], [_unpacked(x, np.uint32) for x in g["counts"]])
+        yield 0, g["range"][0], _sized(keys, levels(n, BIGRAM_BASE), probes), b"", b""
+        own, types = np.unique(contexts_of(keys), return_counts=True)
+        ends = _cuts(context_keys(own), ranges)
         for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if a < b:
-                yield -1, k, b"", _packed(_gaps(own[a:b])), _packed(tokens[a:b]), _packed(types[a:b])
+                yield 1, k, b"", _packed(_gaps(own[a:b])), _packed(types[a:b].astype(np.int64))
+
+    def contexts(g: dict) -> Iterator[tuple]:
+        own, _, types = _merged([_words(x) for x in g["own"]], [_unpacked(x, np.int64) for x in g["types"]])
+        yield 1, g["range"][0], _sized(context_keys(own), levels(types, CONTEXT_BASE), probes)
 
-    asked = _rows(found.select("block", "held", "lengths", "tokens", "words"), ask, "block long, range int, keys binary, counts binary")
-    return _grouped(asked, "range", answer, "block long, range int, levels binary, own binary, tokens binary, types binary")
+    sent = _rows(found.select("held", "lengths", "tokens", "words"), counted, "range int, keys binary, counts binary")
+    made = cut(_grouped(sent, "range", bigrams, "kind int, range int, bits binary, own binary, types binary"))
+    of_contexts = _grouped(made.where("kind = 1").select("range", "own", "types"), "range", contexts, "kind int, range int, bits binary")
+    return cut(made.where("kind = 0").select("kind", "range", "bits").unionByName(of_contexts))
 
 
 def _contexts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,28 +241,32 @@ def _contexts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.append(words, START) >> np.uint64(32), return_inverse=True)
 
 
-def context_levels(found: DataFrame, parts: DataFrame, ranges: int) -> DataFrame:
-    """(block, range, tokens, types): the levels of each block's contexts, in their order, from parts ``range, own, tokens, types``."""
+def _asked(words: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A block's distinct keys of each kind, and the places among them: of its tokens' bigrams, of its words' (and START's) contexts."""
+    flat = words[at]
+    pairs, of_pair = np.unique(pair_keys(_before(flat, length), flat), return_inverse=True)
+    own, of_context = _contexts(words)
+    return [pairs, context_keys(own)], [of_pair, of_context]
 
-    def ask(block: int, words: bytes) -> Iterator[tuple]:
-        own, _ = _contexts(_words(words))
-        ends = _cuts(own << np.uint64(32), ranges)
-        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if a < b:
-                none = _packed(np.zeros(b - a, np.int64))
-                yield block, k, _packed(_gaps(own[a:b])), none, none
 
-    def answer(g: dict) -> Iterator[tuple]:
-        asked = [_words(x) for x in g["own"]]
-        own, at, *totals = _merged(asked, *([_unpacked(x, np.int64) for x in g[k]] for k in ("tokens", "types")))
-        level = _levels_of([(_context_key(own, k), v, CONTEXT_BASE) for k, v in enumerate(totals)])
-        for block, held in zip(g["block"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
-            if block >= 0:
-                yield block, g["range"][0], *(_packed(x[held].astype(np.uint8)) for x in level)
+def routed_levels(found: DataFrame, made: DataFrame, ranges: int, probes: int) -> DataFrame:
+    """(block, kind, range, levels): the answers of the segments for each block's keys, probed where the segments are."""
+
+    def ask(block: int, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
+        keys, _ = _asked(_words(words), _unpacked(tokens, np.uint32), np.array(lengths))
+        for kind, own in enumerate(keys):
+            ends = _cuts(own, ranges)
+            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if a < b:
+                    yield block, kind, k, _packed(_gaps(own[a:b]))
 
-    schema = "block long, range int, own binary, tokens binary, types binary"
-    asked = _rows(found.select("block", "words"), ask, schema).unionByName(parts.selectExpr("-1L AS block", "range", "own", "tokens", "types"))
-    return _grouped(asked, "range", answer, "block long, range int, tokens binary, types binary")
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        bits = held["bits"][0].as_py() if held.num_rows else b""
+        found = [probe_segment(np.frombuffer(bits, np.uint8), _words(k.as_py()), probes) for k in asked["keys"]]
+        return asked.drop_columns(["keys"]).append_column("levels", pa.array([_packed(x.astype(np.uint8)) for x in found], pa.binary()))
+
+    sent = _rows(found.select("block", "lengths", "tokens", "words"), ask, "block long, kind int, range int, keys binary")
+    return sent.groupBy("kind", "range").cogroup(made.groupBy("kind", "range")).applyInArrow(answer, "block long, kind int, range int, levels binary")
 
 
 def levels(counts: np.ndarray, base: float, least: int = 1) -> np.ndarray:
@@ -253,69 +274,74 @@ def levels(counts: np.ndarray, base: float, least: int = 1) -> np.ndarray:
     return np.where(counts >= least, 1 + np.floor(np.log(np.maximum(counts, least) / least) / np.log(base) + 1e-9), 0).astype(np.int64)
 
 
-def middle(level: np.ndarray, base: float, least: int = 1) -> np.ndarray:
-    """Mean of the least and the largest count of a level; 0 for level 0."""
-    low = np.ceil(least * base ** (level - 1.0) - 1e-9)
-    return np.where(level > 0, (low + np.maximum(low, np.ceil(least * base ** level.astype(float) - 1e-9) - 1)) / 2, 0.0)
+def least_of(level: np.ndarray, base: float) -> np.ndarray:
+    """The least count of a level; 0 for level 0."""
+    return np.where(level > 0, np.ceil(base ** (level - 1.0) - 1e-9), 0.0)
+
+
+def context_keys(context: np.ndarray) -> np.ndarray:
+    """Keys of contexts' successors; the low bits only are set, so that the keys are in the contexts' order."""
+    return (context << np.uint64(32)) | np.uint64(1)
 
 
-def _bits(keys: np.ndarray, level: int, size: int) -> Iterator[np.ndarray]:
+def _hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of a key begin at a level, and the step from each to the next."""
     h = mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for k in range(PROBES):
-        yield ((h + np.uint64(k) * step) & np.uint64(0x7FFFFFFFFFFFFFFF)) % np.uint64(size)
+    return h, mix(h) | np.uint64(1)
 
 
-def segment(items: list[tuple[np.ndarray, np.ndarray]], size: int) -> bytes:
+def _place(h: np.ndarray, size: int) -> np.ndarray:
+    return ((h >> np.uint64(1)) % np.uint64(size)).astype(np.int64)
+
+
+def segment(keys: np.ndarray, level: np.ndarray, size: int, probes: int) -> bytes:
     """Bloom filter of ``size`` bits that holds each key once for each level up to its own."""
     bits = np.zeros(size, bool)
-    for keys, level in items:
-        for j in range(1, int(level.max(initial=0)) + 1):
-            for at in _bits(keys[level >= j], j, size):
-                bits[at] = True
+    for j in range(1, int(level.max(initial=0)) + 1):
+        h, step = _hashes(keys[level >= j], j)
+        for _ in range(probes):
+            bits[_place(h, size)] = True
+            h += step
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-@dataclasses.dataclass
-class Filter:
-    """Segments by range of a key's hash, all of ``size`` bits."""
-
-    size: int
-    segments: np.ndarray  # (ranges, size / 8) bytes
-
-    def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Level of each key: levels are probed upwards until one is missing."""
-        level, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        where = np.searchsorted(_edges(len(self.segments)), keys, "right") if len(self.segments) > 1 else np.zeros(len(keys), np.int64)
-        base, flat, j = where * (self.size // 8), self.segments.ravel(), 0
-        while len(alive):
-            j += 1
-            hit = np.ones(len(alive), bool)
-            for at in _bits(keys[alive], j, self.size):
-                hit &= (flat[base[alive] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[hit]
-            level[alive] = j
-        return level
+def probe_segment(data: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
+    """Level of each key: levels are probed upwards until one is missing. A segment without bytes holds nothing."""
+    level, alive, size, j = np.zeros(len(keys), np.int64), np.arange(len(keys) if len(data) else 0), 8 * len(data), 0
+    while len(alive):
+        j += 1
+        h, step = _hashes(keys[alive], j)
+        for _ in range(probes):
+            at = _place(h, size)
+            hit = (data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            alive, step = alive[hit], step[hit]
+            h = h[hit] + step
+            if not len(alive):
+                break
+        level[alive] = j
+    return level
 
 
-def _context_key(context: np.ndarray, kind: int) -> np.ndarray:
-    """Key of a context's statistic; the low bits only, so that a range of contexts stays a range."""
-    return (context << np.uint64(32)) | np.uint64(kind)
+@dataclasses.dataclass
+class Filter:
+    """The segments of each kind and range, as bytes."""
 
+    made: dict[tuple[int, int], np.ndarray]
+    ranges: int
+    probes: int
 
-def _levels_of(items: list[tuple[np.ndarray, np.ndarray, float]]) -> list[np.ndarray]:
-    """What a filter sized for all (keys, counts, base) answers for the keys."""
-    entered = [(k, levels(n, base)) for k, n, base in items]
-    size = max(64, int(sum(int(v.sum()) for _, v in entered) * PROBES / FULL) // 8 * 8 + 8)
-    made = Filter(size, np.frombuffer(segment(entered, size), np.uint8).reshape(1, -1))
-    return [made.probe(k) for k, _ in entered]
+    def probe(self, kind: int, sorted_keys: np.ndarray) -> np.ndarray:
+        ends, none = _cuts(sorted_keys, self.ranges), np.zeros(0, np.uint8)
+        parts = [probe_segment(self.made.get((kind, k), none), sorted_keys[a:b], self.probes) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+        return np.concatenate(parts)
 
 
-def score(docs: DataFrame, held_out: Column) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Null and empty texts are one end token; repeated rows each count and are scored each; a row whose fold is unknown (null id) is
-    trained on and has a null held_out; an empty table gives an empty one; other columns are not read.
+    trained on and has a null held_out; an empty table gives an empty one; other columns are not read. Segments of more than
+    ``filter_bytes`` bytes together are not broadcast.
     """
     found = cut(blocks(docs, held_out))
     total = found.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
@@ -323,50 +349,48 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     answers = cut(counts_for_blocks(found, ranges))
     n, v = answers.where("block = -1").agg(F.sum("n"), F.sum("v")).first()
     n, v = n or 0, v or 0
-    pairs = cut(bigram_levels(found, ranges))
-    contexts = context_levels(found, pairs.where("block = -1"), ranges)
+    probes = probes_for(v)
+    false_successors = (v + 1) / 2.0**probes
+    made = segments(found, ranges, probes)
+    whole = (made.agg(F.sum(F.length("bits"))).first()[0] or 0) <= filter_bytes
+    held_filter = None
+    if whole:
+        own = {(r.kind, r.range): np.frombuffer(r.bits, np.uint8) for r in made.collect()}
+        held_filter = docs.sparkSession.sparkContext.broadcast(Filter(own, ranges, probes))
 
     def scored(block: pa.Table, replies: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         kinds, at_range = replies["kind"].to_numpy(), replies["range"].to_numpy()
 
-        def reply(kind: int, name: str, of: type) -> np.ndarray:
+        def reply(kind: int, of: type) -> np.ndarray:
             mine = np.flatnonzero(kinds == kind)
-            return np.concatenate([_unpacked(replies[name][int(k)].as_py(), of) for k in mine[np.argsort(at_range[mine])]])
+            return np.concatenate([_unpacked(replies["data"][int(k)].as_py(), of) for k in mine[np.argsort(at_range[mine])]])
 
-        counts = reply(0, "data", np.int64)
+        counts = reply(-1, np.int64)
         words, at, length = _words(row["words"]), _unpacked(row["tokens"], np.uint32), np.array(row["lengths"])
-        held = np.array([bool(h) for h in row["held"]])
-        flat = words[at]
+        keys, (of_pair, of_context) = _asked(words, at, length)
+        pair, types = (held_filter.value.probe(k, x) if whole else reply(k, np.uint8).astype(np.int64) for k, x in enumerate(keys))
+        pair, types = least_of(pair, BIGRAM_BASE)[of_pair], least_of(types, CONTEXT_BASE)[of_context]
         unigram = (counts + 0.1) / (n + 0.1 * (v + 1))
         place = np.empty(len(at), np.int64)
         place[1:] = at[:-1]
         place[np.cumsum(length) - length] = len(words)
         # END is no context, so its count stands for that of START: both occur once in a text
-        end = np.searchsorted(words, END)
-        context_count = np.append(counts, counts[end])
-        _, of_context = _contexts(words)
-        tokens, types = (middle(reply(2, c, np.uint8).astype(np.int64), CONTEXT_BASE)[of_context] for c in ("data", "more"))
-        new = np.maximum(context_count - tokens, 0) + types
-        weight = np.minimum(tokens, context_count)
-        _, of_pair = np.unique(pair_keys(_before(flat, length), flat), return_inverse=True)
-        pair = middle(reply(1, "data", np.uint8).astype(np.int64), BIGRAM_BASE)[of_pair]
-        some = (weight + new)[place]
-        chance = np.where(some > 0, (np.minimum(pair, weight[place]) + new[place] * unigram[at]) / np.maximum(some, 1e-9), unigram[at])
-        chance = np.maximum(chance, 1e-3 * unigram[at])  # a context whose quantised counts leave nothing for new events
-        ends = np.concatenate([[0], np.cumsum(length)])
-        total = lambda x: np.add.reduceat(x, ends[:-1])  # noqa: E731  every text has its end token
+        context_count = np.append(counts, counts[np.searchsorted(words, END)])
+        seen, new = context_count[place], types[place]
+        bigram = (np.minimum(pair, seen) + new * unigram[at]) / np.maximum(seen + new + false_successors, 1e-9)
+        chance = np.where(seen > 0, bigram, unigram[at])
+        total = lambda x: np.add.reduceat(x, np.cumsum(length) - length)  # noqa: E731  every text has its end token
         return pa.table(
             [
                 pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(length, pa.int64()), pa.array(total((counts[at] > 0).astype(np.int64))),
-                pa.array(np.full(len(held), n, np.int64)), pa.array(total(np.log10(unigram)[at])), pa.array(total(np.log10(chance))),
+                pa.array(np.full(len(length), n, np.int64)), pa.array(total(np.log10(unigram)[at])), pa.array(total(np.log10(chance))),
             ],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    empty = "CAST(NULL AS BINARY) AS more"
-    replies = answers.where("block >= 0").selectExpr("block", "0 AS kind", "range", "counts AS data", empty)
-    replies = replies.unionByName(pairs.where("block >= 0").selectExpr("block", "1 AS kind", "range", "levels AS data", empty))
-    replies = replies.unionByName(contexts.selectExpr("block", "2 AS kind", "range", "tokens AS data", "types AS more"))
+    replies = answers.where("block >= 0").selectExpr("block", "-1 AS kind", "range", "counts AS data")
+    if not whole:
+        replies = replies.unionByName(routed_levels(found, made, ranges, probes).withColumnRenamed("levels", "data"))
     return found.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored, schema)

@@ -182,15 +182,79 @@ def test_bigrams_seen_once_count(docs):
 
 
 def test_filter_returns_what_it_holds():
-    keys = lm.mix(np.arange(1, 2001, dtype=np.uint64))
-    level = np.arange(2000) % 7
-    f = lm.Filter(1 << 17, np.frombuffer(lm.segment([(keys, level)], 1 << 17), np.uint8).reshape(1, -1))
-    assert (f.probe(keys) >= level).all() and (f.probe(keys) == level).mean() > 0.99
-    assert (f.probe(lm.mix(np.arange(5000, 9000, dtype=np.uint64))) == 0).mean() > 0.99
+    keys = np.sort(lm.mix(np.arange(1, 2001, dtype=np.uint64)))
+    level, others = np.arange(2000) % 7, np.sort(lm.mix(np.arange(5000, 9000, dtype=np.uint64)))
+    bits = np.frombuffer(lm._sized(keys, level, 10), np.uint8)
+    assert 0.4 < np.unpackbits(bits).mean() < 0.6
+    found = lm.probe_segment(bits, keys, 10)
+    assert (found >= level).all() and (found == level).mean() > 0.99
+    assert (lm.probe_segment(bits, others, 10) == 0).mean() > 0.99
+    ends = lm._cuts(keys, 3)
+    f = lm.Filter({(0, k): np.frombuffer(lm._sized(keys[x:y], level[x:y], 10), np.uint8) for k, (x, y) in enumerate(zip(ends[:-1], ends[1:]))}, 3, 10)
+    assert (f.probe(0, keys) >= level).all() and (f.probe(1, keys) == 0).all() and len(f.probe(0, keys[:0])) == 0
+    counts = np.arange(1, 5000)
+    for base in (lm.BIGRAM_BASE, lm.CONTEXT_BASE):
+        low = lm.least_of(lm.levels(counts, base), base)
+        assert (low <= counts).all() and (counts < low * base + 1).all()
     assert lm.levels(np.array([0, 1, 2, 3, 4, 8]), 2.0).tolist() == [0, 1, 2, 2, 3, 4]
     assert (lm.contexts_of(lm.pair_keys(keys, keys[::-1])) == keys >> np.uint64(32)).all()
 
 
+def plain_model(texts, held):
+    """Counts of words, bigrams and successors of the training texts, and their Witten-Bell chances: exact, and of the filter's levels."""
+    tokens = {i: ["\1", *(t or "").lower().split(), "\0"] for i, t in texts}
+    train = [w for i, w in tokens.items() if not held(i)]
+    words = collections.Counter(x for w in train for x in w[1:])
+    pairs = collections.Counter(p for w in train for p in zip(w[:-1], w[1:], strict=True))
+    types = collections.Counter(a for a, _ in pairs)
+    n, v = sum(words.values()), len(words)
+    low = lambda c, base: float(lm.least_of(lm.levels(np.array([c]), base), base)[0])
+
+    def chance(a, b, exact):
+        own, unigram = words["\0"] if a == "\1" else words[a], (words[b] + 0.1) / (n + 0.1 * (v + 1))
+        if not own:
+            return unigram
+        c, t, extra = (pairs[a, b], types[a], 0.0) if exact else (low(pairs[a, b], lm.BIGRAM_BASE), low(types[a], lm.CONTEXT_BASE), (v + 1) / 2.0 ** lm.probes_for(v))
+        return (c + t * unigram) / (own + t + extra)
+
+    return tokens, words, chance
+
+
+def test_lm_scores_equal_a_plain_model(docs):
+    """Broadcast or routed, a score is that of plain counts rounded to levels, and near exact Witten-Bell."""
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(f"W{k}" for k in rng.zipf(1.4, 60) if k < 900)) for i in range(250)] + [(900, None), (901, "nie gesehen w1"), (902, "")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    rows = docs(texts).repartition(5)
+    found = {r.doc_id: r.score for r in lm.score(rows, fold("doc_id", 10) == 0).collect()}
+    routed = {r.doc_id: r.score for r in lm.score(rows, fold("doc_id", 10) == 0, filter_bytes=0).collect()}
+    assert found == routed and len(found) == len(texts)
+    tokens, words, chance = plain_model(texts, held)
+    plain = {i: [sum(math.log10(chance(a, b, exact)) for a, b in zip(w[:-1], w[1:], strict=True)) for exact in (False, True)] for i, w in tokens.items()}
+    same = sum(found[i] == pytest.approx(plain[i][0], abs=1e-9) for i in found)
+    # one unseen bigram in 2 ^ k is found, and then its text's score is higher
+    assert same >= len(found) - 2 and all(found[i] > plain[i][0] - 1e-9 for i in found)
+    for i, w in tokens.items():
+        assert abs(found[i] - plain[i][1]) <= 0.1 * (len(w) - 1)
+    every = [*words, "never seen"]
+    for a in ["\1", *sorted(words)[:60]]:
+        assert sum(chance(a, b, False) for b in every) <= 1 + 1e-9
+
+
+def test_false_successors_stay_few():
+    """Chances of a context over the whole vocabulary: what the filter adds to them is within the eighth of a successor that is reckoned."""
+    words = np.sort(lm.mix(np.arange(1, 3001, dtype=np.uint64)))
+    probes = lm.probes_for(len(words))
+    rng = np.random.default_rng(3)
+    held = np.unique(lm.pair_keys(words[rng.integers(0, 3000, 20000)], words[rng.integers(0, 3000, 20000)]))
+    bits = np.frombuffer(lm._sized(held, np.ones(len(held), np.int64), probes), np.uint8)
+    extra = 0
+    for w in words[:200]:
+        asked = lm.pair_keys(np.full(3000, w), words)
+        extra += int((lm.probe_segment(bits, asked, probes) > 0).sum() - np.isin(asked, held).sum())
+    assert extra <= 200 / 8
+
+
 def test_names_are_not_secrets_and_random_strings_are(spark, tables):
     """Words, identifiers and keys that no model was trained on: at most 1 % false alarms, at least 95 % of the keys of 20 and more."""
     rng, model = random.Random(9), secrets.train(tables[0])
