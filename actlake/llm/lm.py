@@ -127,8 +127,8 @@ def _grouped(df: DataFrame, key: str, of: Callable[[dict], Iterator[tuple]], sch
 
 
 def _edges(ranges: int) -> np.ndarray:
-    """Upper ends of equal ranges of 64-bit hashes, without the last."""
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    """Upper ends of about equal ranges of 64-bit hashes, without the last; a key's 32 high bits tell its range."""
+    return np.array([((k << 32) // ranges) << 32 for k in range(1, ranges)], np.uint64)
 
 
 def _cuts(sorted_hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -200,12 +200,25 @@ def probes_for(words: int) -> int:
     return max(LEAST_PROBES, int(np.ceil(np.log2(8 * (words + 1)))))
 
 
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys by their ``bits`` high bits, the others zero; sorted keys stay sorted."""
+    return keys & ~np.uint64((1 << (64 - bits)) - 1)
+
+
+def key_bits(tokens: int, probes: int) -> int:
+    """Bits of a key, 32 or more, with which fewer than a half of 2 ^ -probes of the keys that aren't held have those of one that is."""
+    return min(64, max(32, max(1, tokens).bit_length() + probes + 1))
+
+
 def _sized(keys: np.ndarray, level: np.ndarray, probes: int) -> bytes:
     return segment(keys, level, int(int(level.sum()) * probes / FULL) // 64 * 64 + 64, probes)
 
 
-def segments(found: DataFrame, ranges: int, probes: int) -> DataFrame:
-    """(kind, range, bits): the filter's segments, of bigrams (kind 0) and of contexts (kind 1), from training documents."""
+def segments(found: DataFrame, ranges: int, probes: int, bits: int) -> DataFrame:
+    """(kind, range, bits): the filter's segments, of bigrams (kind 0) and of contexts (kind 1), from training documents.
+
+    Bigrams are entered by ``bits`` bits of their keys, so that those are all that has to be sent to ask for them.
+    """
 
     def counted(held: list, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
         length = np.array(lengths)
@@ -219,7 +232,7 @@ def segments(found: DataFrame, ranges: int, probes: int) -> DataFrame:
 
     def bigrams(g: dict) -> Iterator[tuple]:
         keys, _, n = _merged([_words(x) for x in g["keys"]], [_unpacked(x, np.uint32) for x in g["counts"]])
-        yield 0, g["range"][0], _sized(keys, levels(n, BIGRAM_BASE), probes), b"", b""
+        yield 0, g["range"][0], _sized(_short(keys, bits), levels(n, BIGRAM_BASE), probes), b"", b""
         own, types = np.unique(contexts_of(keys), return_counts=True)
         ends = _cuts(context_keys(own), ranges)
         for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
@@ -233,7 +246,7 @@ def segments(found: DataFrame, ranges: int, probes: int) -> DataFrame:
     sent = _rows(found.select("held", "lengths", "tokens", "words"), counted, "range int, keys binary, counts binary")
     made = cut(_grouped(sent, "range", bigrams, "kind int, range int, bits binary, own binary, types binary"))
     of_contexts = _grouped(made.where("kind = 1").select("range", "own", "types"), "range", contexts, "kind int, range int, bits binary")
-    return cut(made.where("kind = 0").select("kind", "range", "bits").unionByName(of_contexts))
+    return made.where("kind = 0").select("kind", "range", "bits").unionByName(cut(of_contexts))
 
 
 def _contexts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,28 +254,31 @@ def _contexts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.append(words, START) >> np.uint64(32), return_inverse=True)
 
 
-def _asked(words: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _asked(words: np.ndarray, at: np.ndarray, length: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A block's distinct keys of each kind, and the places among them: of its tokens' bigrams, of its words' (and START's) contexts."""
     flat = words[at]
-    pairs, of_pair = np.unique(pair_keys(_before(flat, length), flat), return_inverse=True)
+    pairs, of_pair = np.unique(_short(pair_keys(_before(flat, length), flat), bits), return_inverse=True)
     own, of_context = _contexts(words)
     return [pairs, context_keys(own)], [of_pair, of_context]
 
 
-def routed_levels(found: DataFrame, made: DataFrame, ranges: int, probes: int) -> DataFrame:
+def routed_levels(found: DataFrame, made: DataFrame, ranges: int, probes: int, bits: int) -> DataFrame:
     """(block, kind, range, levels): the answers of the segments for each block's keys, probed where the segments are."""
 
     def ask(block: int, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
-        keys, _ = _asked(_words(words), _unpacked(tokens, np.uint32), np.array(lengths))
+        keys, _ = _asked(_words(words), _unpacked(tokens, np.uint32), np.array(lengths), bits)
         for kind, own in enumerate(keys):
             ends = _cuts(own, ranges)
             for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                 if a < b:
-                    yield block, kind, k, _packed(_gaps(own[a:b]))
+                    yield block, kind, k, _packed(_gaps(own[a:b] >> np.uint64(0 if kind else 64 - bits)))
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        bits = held["bits"][0].as_py() if held.num_rows else b""
-        found = [probe_segment(np.frombuffer(bits, np.uint8), _words(k.as_py()), probes) for k in asked["keys"]]
+        if not asked.num_rows:
+            return asked.drop_columns(["keys"]).append_column("levels", pa.array([], pa.binary()))
+        data = np.frombuffer(held["bits"][0].as_py() if held.num_rows else b"", np.uint8)
+        shift = np.uint64(0 if asked["kind"][0].as_py() else 64 - bits)
+        found = [probe_segment(data, _words(k.as_py()) << shift, probes) for k in asked["keys"]]
         return asked.drop_columns(["keys"]).append_column("levels", pa.array([_packed(x.astype(np.uint8)) for x in found], pa.binary()))
 
     sent = _rows(found.select("block", "lengths", "tokens", "words"), ask, "block long, kind int, range int, keys binary")
@@ -351,7 +367,8 @@ def score(docs: DataFrame, held_out: Column, filter_bytes: int = FILTER_BYTES) -
     n, v = n or 0, v or 0
     probes = probes_for(v)
     false_successors = (v + 1) / 2.0**probes
-    made = segments(found, ranges, probes)
+    bits = key_bits(total, probes)
+    made = segments(found, ranges, probes, bits)
     whole = (made.agg(F.sum(F.length("bits"))).first()[0] or 0) <= filter_bytes
     held_filter = None
     if whole:
@@ -368,7 +385,7 @@ def score(docs: DataFrame, held_out: Column, filter_bytes: int = FILTER_BYTES) -
 
         counts = reply(-1, np.int64)
         words, at, length = _words(row["words"]), _unpacked(row["tokens"], np.uint32), np.array(row["lengths"])
-        keys, (of_pair, of_context) = _asked(words, at, length)
+        keys, (of_pair, of_context) = _asked(words, at, length, bits)
         pair, types = (held_filter.value.probe(k, x) if whole else reply(k, np.uint8).astype(np.int64) for k, x in enumerate(keys))
         pair, types = least_of(pair, BIGRAM_BASE)[of_pair], least_of(types, CONTEXT_BASE)[of_context]
         unigram = (counts + 0.1) / (n + 0.1 * (v + 1))
@@ -392,5 +409,5 @@ def score(docs: DataFrame, held_out: Column, filter_bytes: int = FILTER_BYTES) -
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     replies = answers.where("block >= 0").selectExpr("block", "-1 AS kind", "range", "counts AS data")
     if not whole:
-        replies = replies.unionByName(routed_levels(found, made, ranges, probes).withColumnRenamed("levels", "data"))
+        replies = replies.unionByName(routed_levels(found, made, ranges, probes, bits).withColumnRenamed("levels", "data"))
     return found.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored, schema)
