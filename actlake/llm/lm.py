@@ -5,9 +5,10 @@ q times, once for each level, and its count is read by probing level after level
 from training counts only, and holds every training bigram's count and every context's number of different successors, from which
 Witten-Bell smoothing follows. A context's tokens need no entry: they are the exact count of its word, which the base score needs anyway.
 
-The filter is cut into segments by ranges of the keys' hashes, each built in its range's task. While all segments together are at
-most ``FILTER_BYTES`` (their sizes are summed first) they are broadcast and the tasks that score texts probe them; beyond that the
-blocks send their keys to the segments' tasks and get levels back. Bits and answers are the same, only the transport differs.
+The filter is cut into segments by ranges of the keys' hashes, each built in its range's task. A key has at most as many levels as
+its count, so the number of tokens bounds the filter's size. While that bound is at most ``FILTER_BYTES`` the segments are
+broadcast and the tasks that score texts probe them. Beyond it the blocks' keys, which meet in the ranges' tasks to be counted, are
+probed there, once a segment is made, and the levels go back. Bits and answers are the same, only the transport differs.
 
 An entry takes k / 0.69 bits for k probes, half of the bits are set, and a key that isn't held is found with a chance of 2^-k. A
 context could so be followed by V / 2^k words too many, V the vocabulary; k is such that this is at most an eighth. Counts are
@@ -36,7 +37,7 @@ BLOCK_BYTES = 12 << 20
 #: Tokens that one range of hashes gets, on average.
 RANGE_TOKENS = 6_000_000
 #: All segments together may be broadcast up to this size.
-FILTER_BYTES = 64 << 20
+FILTER_BYTES = 128 << 20
 LEAST_PROBES = 8
 #: Share of set bits that a segment is sized for is a half.
 FULL = 0.69
@@ -200,53 +201,75 @@ def probes_for(words: int) -> int:
     return max(LEAST_PROBES, int(np.ceil(np.log2(8 * (words + 1)))))
 
 
-def _short(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Keys by their ``bits`` high bits, the others zero; sorted keys stay sorted."""
-    return keys & ~np.uint64((1 << (64 - bits)) - 1)
-
-
-def key_bits(tokens: int, probes: int) -> int:
-    """Bits of a key, 32 or more, with which fewer than a half of 2 ^ -probes of the keys that aren't held have those of one that is."""
-    return min(64, max(32, max(1, tokens).bit_length() + probes + 1))
-
-
 def _sized(keys: np.ndarray, level: np.ndarray, probes: int) -> bytes:
     return segment(keys, level, int(int(level.sum()) * probes / FULL) // 64 * 64 + 64, probes)
 
 
-def segments(found: DataFrame, ranges: int, probes: int, bits: int) -> DataFrame:
-    """(kind, range, bits): the filter's segments, of bigrams (kind 0) and of contexts (kind 1), from training documents.
+def filter_bound(tokens: int, ranges: int, probes: int) -> int:
+    """Bytes that all segments together can't exceed: bigrams and successors have no more levels than the training texts have tokens."""
+    return int(2 * tokens * probes / FULL) // 8 + 16 * ranges
+
 
-    Bigrams are entered by ``bits`` bits of their keys, so that those are all that has to be sent to ask for them.
+def segments(found: DataFrame, ranges: int, probes: int, answer: bool) -> DataFrame:
+    """(kind, range, block, data): the filter's segments, of bigrams (kind 0) and of contexts (kind 1), from training documents.
+
+    With ``answer`` ``data`` are, in the place of the bits, what they say of each block's distinct keys of the kind and range.
     """
 
-    def counted(held: list, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
-        length = np.array(lengths)
-        flat = _words(words)[_unpacked(tokens, np.uint32)]
-        trained = np.repeat(~np.array([bool(h) for h in held]), length)
-        keys, n = np.unique(pair_keys(_before(flat, length), flat)[trained], return_counts=True)
+    def cut_up(block: int, kind: int, keys: np.ndarray, items: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
         ends = _cuts(keys, ranges)
-        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             if a < b:
-                yield k, _packed(_gaps(keys[a:b])), _packed(n[a:b].astype(np.uint32))
+                yield block, kind, r, _packed(_gaps(items[a:b])), _packed(counts[a:b].astype(np.uint32))
+
+    def counted(block: int, held: list, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
+        length = np.array(lengths)
+        flat = _words(words)[_unpacked(tokens, np.uint32)]
+        keys, at = np.unique(pair_keys(_before(flat, length), flat), return_inverse=True)
+        n = np.bincount(at[np.repeat(~np.array([bool(h) for h in held]), length)], minlength=len(keys))
+        sent = slice(None) if answer else n > 0
+        yield from cut_up(block, 0, keys[sent], keys[sent], n[sent])
+
+    def named(block: int, words: bytes) -> Iterator[tuple]:
+        own, _ = _contexts(_words(words))
+        yield from cut_up(block, 1, context_keys(own), own, np.zeros(len(own)))
+
+    def built(g: dict, keys_of: Callable, base: float) -> tuple[np.ndarray, Iterator[tuple]]:
+        asked = [_words(x) for x in g["keys"]]
+        own, at, n = _merged(asked, [_unpacked(x, np.uint32) for x in g["counts"]])
+        keys, known = keys_of(own), n > 0
+        bits = _sized(keys[known], levels(n[known], base), probes)
+
+        def rows() -> Iterator[tuple]:
+            if not answer:
+                yield g["kind"][0], g["range"][0], -1, bits
+                return
+            level = probe_segment(np.frombuffer(bits, np.uint8), keys, probes).astype(np.uint8)
+            for block, places in zip(g["block"], np.split(at, np.cumsum([len(x) for x in asked])[:-1]), strict=True):
+                if block >= 0:
+                    yield g["kind"][0], g["range"][0], block, _packed(level[places])
+
+        return own[known], rows()
 
     def bigrams(g: dict) -> Iterator[tuple]:
-        keys, _, n = _merged([_words(x) for x in g["keys"]], [_unpacked(x, np.uint32) for x in g["counts"]])
-        yield 0, g["range"][0], _sized(_short(keys, bits), levels(n, BIGRAM_BASE), probes), b"", b""
+        keys, rows = built(g, lambda x: x, BIGRAM_BASE)
+        for row in rows:
+            yield *row, b""
         own, types = np.unique(contexts_of(keys), return_counts=True)
-        ends = _cuts(context_keys(own), ranges)
-        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if a < b:
-                yield 1, k, b"", _packed(_gaps(own[a:b])), _packed(types[a:b].astype(np.int64))
+        for _, kind, r, *rest in cut_up(-1, 1, context_keys(own), own, types):
+            yield kind, r, -1, *rest
 
     def contexts(g: dict) -> Iterator[tuple]:
-        own, _, types = _merged([_words(x) for x in g["own"]], [_unpacked(x, np.int64) for x in g["types"]])
-        yield 1, g["range"][0], _sized(context_keys(own), levels(types, CONTEXT_BASE), probes)
+        yield from built(g, context_keys, CONTEXT_BASE)[1]
 
-    sent = _rows(found.select("held", "lengths", "tokens", "words"), counted, "range int, keys binary, counts binary")
-    made = cut(_grouped(sent, "range", bigrams, "kind int, range int, bits binary, own binary, types binary"))
-    of_contexts = _grouped(made.where("kind = 1").select("range", "own", "types"), "range", contexts, "kind int, range int, bits binary")
-    return made.where("kind = 0").select("kind", "range", "bits").unionByName(cut(of_contexts))
+    message = "block long, kind int, range int, keys binary, counts binary"
+    sent = _rows(found.select("block", "held", "lengths", "tokens", "words"), counted, message)
+    made = cut(_grouped(sent, "range", bigrams, "kind int, range int, block long, data binary, counts binary"))
+    of_contexts = made.where("kind = 1").selectExpr("block", "kind", "range", "data AS keys", "counts")
+    if answer:
+        of_contexts = of_contexts.unionByName(_rows(found.select("block", "words"), named, message))
+    made = made.where("kind = 0").drop("counts")
+    return made.unionByName(_grouped(of_contexts, "range", contexts, "kind int, range int, block long, data binary"))
 
 
 def _contexts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,37 +277,14 @@ def _contexts(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.append(words, START) >> np.uint64(32), return_inverse=True)
 
 
-def _asked(words: np.ndarray, at: np.ndarray, length: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _asked(words: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A block's distinct keys of each kind, and the places among them: of its tokens' bigrams, of its words' (and START's) contexts."""
     flat = words[at]
-    pairs, of_pair = np.unique(_short(pair_keys(_before(flat, length), flat), bits), return_inverse=True)
+    pairs, of_pair = np.unique(pair_keys(_before(flat, length), flat), return_inverse=True)
     own, of_context = _contexts(words)
     return [pairs, context_keys(own)], [of_pair, of_context]
 
 
-def routed_levels(found: DataFrame, made: DataFrame, ranges: int, probes: int, bits: int) -> DataFrame:
-    """(block, kind, range, levels): the answers of the segments for each block's keys, probed where the segments are."""
-
-    def ask(block: int, lengths: list, tokens: bytes, words: bytes) -> Iterator[tuple]:
-        keys, _ = _asked(_words(words), _unpacked(tokens, np.uint32), np.array(lengths), bits)
-        for kind, own in enumerate(keys):
-            ends = _cuts(own, ranges)
-            for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                if a < b:
-                    yield block, kind, k, _packed(_gaps(own[a:b] >> np.uint64(0 if kind else 64 - bits)))
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows:
-            return asked.drop_columns(["keys"]).append_column("levels", pa.array([], pa.binary()))
-        data = np.frombuffer(held["bits"][0].as_py() if held.num_rows else b"", np.uint8)
-        shift = np.uint64(0 if asked["kind"][0].as_py() else 64 - bits)
-        found = [probe_segment(data, _words(k.as_py()) << shift, probes) for k in asked["keys"]]
-        return asked.drop_columns(["keys"]).append_column("levels", pa.array([_packed(x.astype(np.uint8)) for x in found], pa.binary()))
-
-    sent = _rows(found.select("block", "lengths", "tokens", "words"), ask, "block long, kind int, range int, keys binary")
-    return sent.groupBy("kind", "range").cogroup(made.groupBy("kind", "range")).applyInArrow(answer, "block long, kind int, range int, levels binary")
-
-
 def levels(counts: np.ndarray, base: float, least: int = 1) -> np.ndarray:
     """Quantised log count: 1 from ``least``, one more for each factor ``base``; 0 below."""
     return np.where(counts >= least, 1 + np.floor(np.log(np.maximum(counts, least) / least) / np.log(base) + 1e-9), 0).astype(np.int64)
@@ -356,8 +356,8 @@ def score(docs: DataFrame, held_out: Column, filter_bytes: int = FILTER_BYTES) -
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Null and empty texts are one end token; repeated rows each count and are scored each; a row whose fold is unknown (null id) is
-    trained on and has a null held_out; an empty table gives an empty one; other columns are not read. Segments of more than
-    ``filter_bytes`` bytes together are not broadcast.
+    trained on and has a null held_out; an empty table gives an empty one; other columns are not read. A filter that could
+    exceed ``filter_bytes`` bytes is not broadcast.
     """
     found = cut(blocks(docs, held_out))
     total = found.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
@@ -367,12 +367,11 @@ def score(docs: DataFrame, held_out: Column, filter_bytes: int = FILTER_BYTES) -
     n, v = n or 0, v or 0
     probes = probes_for(v)
     false_successors = (v + 1) / 2.0**probes
-    bits = key_bits(total, probes)
-    made = segments(found, ranges, probes, bits)
-    whole = (made.agg(F.sum(F.length("bits"))).first()[0] or 0) <= filter_bytes
+    whole = filter_bound(total, ranges, probes) <= filter_bytes
+    made = segments(found, ranges, probes, not whole)
     held_filter = None
     if whole:
-        own = {(r.kind, r.range): np.frombuffer(r.bits, np.uint8) for r in made.collect()}
+        own = {(r.kind, r.range): np.frombuffer(r.data, np.uint8) for r in made.collect()}
         held_filter = docs.sparkSession.sparkContext.broadcast(Filter(own, ranges, probes))
 
     def scored(block: pa.Table, replies: pa.Table) -> pa.Table:
@@ -385,7 +384,7 @@ def score(docs: DataFrame, held_out: Column, filter_bytes: int = FILTER_BYTES) -
 
         counts = reply(-1, np.int64)
         words, at, length = _words(row["words"]), _unpacked(row["tokens"], np.uint32), np.array(row["lengths"])
-        keys, (of_pair, of_context) = _asked(words, at, length, bits)
+        keys, (of_pair, of_context) = _asked(words, at, length)
         pair, types = (held_filter.value.probe(k, x) if whole else reply(k, np.uint8).astype(np.int64) for k, x in enumerate(keys))
         pair, types = least_of(pair, BIGRAM_BASE)[of_pair], least_of(types, CONTEXT_BASE)[of_context]
         unigram = (counts + 0.1) / (n + 0.1 * (v + 1))
@@ -409,5 +408,5 @@ def score(docs: DataFrame, held_out: Column, filter_bytes: int = FILTER_BYTES) -
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     replies = answers.where("block >= 0").selectExpr("block", "-1 AS kind", "range", "counts AS data")
     if not whole:
-        replies = replies.unionByName(routed_levels(found, made, ranges, probes, bits).withColumnRenamed("levels", "data"))
+        replies = replies.unionByName(made.select("block", "kind", "range", "data"))
     return found.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scored, schema)
