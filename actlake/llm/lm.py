@@ -39,6 +39,8 @@ RANGE_TOKENS = 6_000_000
 #: All segments together may be broadcast up to this size.
 FILTER_BYTES = 128 << 20
 LEAST_PROBES = 8
+#: Keys that one numpy step enters.
+STEP_KEYS = 1 << 18
 #: Share of set bits that a segment is sized for is a half.
 FULL = 0.69
 BIGRAM_BASE, CONTEXT_BASE = 1.5, 1.2
@@ -312,13 +314,16 @@ def _place(h: np.ndarray, size: int) -> np.ndarray:
 
 def segment(keys: np.ndarray, level: np.ndarray, size: int, probes: int) -> bytes:
     """Bloom filter of ``size`` bits that holds each key once for each level up to its own."""
-    bits = np.zeros(size, bool)
+    data = np.zeros(-(-size // 8), np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
-        h, step = _hashes(keys[level >= j], j)
-        for _ in range(probes):
-            bits[_place(h, size)] = True
-            h += step
-    return np.packbits(bits, bitorder="little").tobytes()
+        entered = keys[level >= j]
+        for i in range(0, len(entered), STEP_KEYS):
+            h, step = _hashes(entered[i : i + STEP_KEYS], j)
+            for _ in range(probes):
+                at = _place(h, size)
+                np.bitwise_or.at(data, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+                h += step
+    return data.tobytes()
 
 
 def probe_segment(data: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
