@@ -308,6 +308,15 @@ def unit_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(f, "[^a-z0-9]+", " "))
 
 
+def unit_as_cited(c: Column) -> Column:
+    """A unit's name as an act's text gives it: plain characters, without what runs on after it, words doubled by the page's layout once."""
+    edge = r" /.,\-–·"
+    plain = reduce(lambda s, pair: F.replace(s, F.lit(pair[0]), F.lit(pair[1])), V.COMPATIBLE.items(), c)
+    name = _stripped(F.regexp_replace(plain, r"(?U)\s+", " "), edge + "()")
+    whole = reduce(lambda s, end: F.regexp_replace(s, f"(?U){end}", ""), V.UNIT_ENDS, name)
+    return _stripped(F.regexp_replace(whole, r"(?iU)\b(\w+)(\s+\1\b)+", "$1"), edge)
+
+
 def unit_label(c: Column) -> Column:
     """A unit's name in title case: connectors small but at the start, short acronyms as they are."""
     acronym = lambda p: (p == F.upper(p)) & (p != F.lower(p)) & (F.length(p) <= 6) & ~p.rlike("[À-Ú]")

@@ -214,3 +214,34 @@ OBJECT_END = (
 )
 CAPITALS = r"[A-ZÀ-Þ][A-ZÀ-Þ0-9'’\-]*(?:\s+[A-ZÀ-Þ][A-ZÀ-Þ0-9'’\-]*)+"
 PHRASE_SMALL = "de da do das dos e a o as os em no na nos nas para por com sem ao aos à às que sob sobre entre".split()
+
+# Words of a person's name (in capitals, or with a capital first), what joins them, and the two kinds of runs, the first tried first.
+LETTER, CAPITAL = "A-Za-zÀ-ÖØ-öø-ÿ", "A-ZÀ-ÖØ-Þ"
+NAME_TAIL = rf"[{LETTER}]*(?:['’][{LETTER}]+)*"
+NAME_JOIN = rf"(?:de|da|do|das|dos|e|d['’][{LETTER}]*)"
+NAME_WORDS = [rf"[{CAPITAL}]{{2,}}{NAME_TAIL}", rf"[{CAPITAL}]{NAME_TAIL}"]
+NAMES = [rf"{w}(?:\s+(?:{NAME_JOIN}|{w})){{1,6}}" for w in NAME_WORDS]
+
+# The wording by which acts appoint to and dismiss from an office of a unit (groups: preposition, office, unit).
+OFFICE = (
+    r"(?:Vice[-\s]?|Sub[-\s]?)?(?:Chefes?|Coordenador[ae]?(?:es)?|Diretor[ae]?(?:es)?|Superintendentes?|Gerentes?|Decan[oa]s?|"
+    r"Pr[óo][-\s]?Reitor[ae]?(?:es)?|Reitor[ae]?(?:es)?)"
+)
+ROLE = (
+    r"(d[ao]s?|para\s+(?:as?|os?)|pel[ao]|a|as|o|os)\s+(?:exerc[íi]cio\s+d[ao]\s+)?(?:fun[çc](?:[ãa]o|[õo]es)|cargo)\s+"
+    r"(?:(?:gratificad|comissionad)[ao]s?\s+|de\s+confian[çc]a\s+|em\s+comiss[ãa]o\s+)?de\s+(?:dire[çc][ãa]o\s+de\s+)?"
+    rf"({OFFICE})\s+(?:d[oae]s?|d')\s+([A-ZÀ-Úa-zà-ú(][^;:.]{{2,90}}?)"
+    r"(?=\s*(?:,|;|\.|:|\bc[óo]digo\b|\bc[óo]d\b|\bs[íi]mbolo\b|\bFG[- ]?\d|\bCD[- ]?\d|\bFCC\b|\bFUC\b|\bn[.ºo°]|\ba partir\b|"
+    rf"\bpelo per|\bno per[íi]odo\b|\bcom valid|\bem substitui|\bda Universidade\b|/{ACRONYM}|\bem virtude\b|\bdurante\b|$))"
+)
+ACTING = r"substitut|eventual|pro\s*tempore|respond|interin|exerc[íi]cio eventual"
+ROLE_VERBS = "design|dispens|exoner|destitu"
+LEAVING = ["do", "da", "dos", "das"]
+
+# How far an act's text is looked at around a citation, before a registration number, and before an office.
+CITED_BEFORE, CITED_AFTER, EXCERPT_AFTER = 75, 90, 30
+NAME_BEFORE = 170
+PERSON_BEFORE, VERB_BEFORE, ACTING_BEFORE = 220, 300, 50
+SUMMARY_AFTER, HEAD_BEFORE, HEAD_AFTER = 1200, 400, 200
+# Characters of units' names that stand for plain ones.
+COMPATIBLE = {"ª": "a", "º": "o", "¹": "1", "²": "2", "³": "3", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}

@@ -23,8 +23,8 @@ def bulletins(pages: DataFrame) -> DataFrame:
 
 
 def segments(books: DataFrame) -> DataFrame:
-    """A row for each title of a bulletin; bulletins without any title text are not sent to Python."""
-    rows = books.where(F.col("texto").rlike(V.TITLE)).withColumn("s", F.explode(R.segments_udf("texto")))
+    """A row for each title of a bulletin; bulletins without any title have none."""
+    rows = books.where(F.col("texto").rlike(V.TITLE)).withColumn("s", F.explode(R.segments(F.col("texto"))))
     return rows.drop("texto").select("*", "s.*").drop("s")
 
 
@@ -43,10 +43,10 @@ def act_records(segs: DataFrame, process_base: str = "", document_base: str = ""
     ).withColumn("sigla", T.issuer_code(F.col("_orgao")))
     read = first.withColumns(
         {
-            "relacoes": R.citations_udf("ementa", "corpo", "sigla", "_numero"),
+            "relacoes": R.citations(F.col("ementa"), F.col("corpo"), F.col("sigla"), F.col("_numero")),
             "resumo": F.when(F.length(F.trim("ementa")) < 12, T.inferred_summary(F.col("corpo"))),
-            "pessoas": R.people_udf("trecho"),
-            "funcoes": F.when(F.col("trecho").rlike(r"(?iu)fun[çc]|cargo"), T.role_events(R.role_mentions_udf("trecho"))).otherwise(F.array().cast(R.ROLE)),
+            "pessoas": R.people(F.col("trecho")),
+            "funcoes": F.when(F.col("trecho").rlike(r"(?iu)fun[çc]|cargo"), T.role_events(R.role_mentions(F.col("trecho")))).otherwise(F.array().cast(R.ROLE)),
         }
     )
     main = T.first_or_blank(F.col("processos_sei"))

@@ -1,9 +1,17 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from actlake.functions import reading as R
 from actlake.functions import text as T
 
 
+def read(spark, text, f):
+    """Rows of an array that ``f`` makes of a text."""
+    return [r.asDict() for r in one(spark, text, f)]
+
+
 def one(spark, value, f):
     return spark.createDataFrame([(value,)], "v string").select(f(F.col("v")).alias("r")).first().r
 
@@ -20,10 +28,10 @@ def test_scalars(spark):
     assert one(spark, "abc", T.year_or_default) == 2026
 
 
-def test_ordinals_in_titles():
+def test_ordinals_in_titles(spark):
     for mark in ("Nº", "N°", "N.º", "Nº.", "No"):
-        assert len(R.segments(f"PORTARIA {mark} 54.919 de 11 de novembro de 2015\nresolve")) == 1
-    assert R.segments("a portaria nº 8858, de 1 de maio de 2020") == [] and R.segments(None) == []
+        assert len(read(spark, f"PORTARIA {mark} 54.919 de 11 de novembro de 2015\nresolve", R.segments)) == 1
+    assert read(spark, "a portaria nº 8858, de 1 de maio de 2020", R.segments) == [] and read(spark, None, R.segments) == []
 
 
 def test_issuers(spark):
@@ -42,23 +50,23 @@ def test_identifier_and_summary(spark):
     assert tuple(shown) == ("Designa X.", True, "Designa X.")
 
 
-def test_names_keep_letters_and_apostrophes():
+def test_names_keep_letters_and_apostrophes(spark):
     text = "Designar ANA FRÜHAUF SANT'ANNA, Professora, SIAPE 1642620."
-    assert R.people(text) == [{"nome": "Ana Frühauf Sant'Anna", "siape": "1642620"}]
-    assert R.people("Lotar LIma Dal'Magro, Mat. SIAPE 123456") == [{"nome": "Lima Dal'Magro", "siape": "123456"}]
+    assert read(spark, text, R.people) == [{"nome": "Ana Frühauf Sant'Anna", "siape": "1642620"}]
+    assert read(spark, "Lotar LIma Dal'Magro, Mat. SIAPE 123456", R.people) == [{"nome": "Lima Dal'Magro", "siape": "123456"}]
 
 
-def test_professions_are_no_names():
+def test_professions_are_no_names(spark):
     for profession in ("MÉDICA", "Nutricionista", "CONTADOR", "ASSISTENTE SOCIAL", "REITORA", "Professores de Letras"):
-        assert R.people(f"designar {profession} MARIA DA SILVA, SIAPE 1234567")[0]["nome"] == "Maria da Silva"
+        assert read(spark, f"designar {profession} MARIA DA SILVA, SIAPE 1234567", R.people)[0]["nome"] == "Maria da Silva"
     # words of the list count whole: a surname may begin with one
-    assert R.people("REITORADO CLARA LETRASSON, SIAPE 1234567")[0]["nome"] == "Reitorado Clara Letrasson"
-    assert R.people("SIAPE 1234567, e o SIAPE 7654321, SIAPE 1234567") == [{"nome": "", "siape": "1234567"}, {"nome": "", "siape": "7654321"}]
-    assert R.people(None) == []
+    assert read(spark, "REITORADO CLARA LETRASSON, SIAPE 1234567", R.people)[0]["nome"] == "Reitorado Clara Letrasson"
+    assert read(spark, "SIAPE 1234567, e o SIAPE 7654321, SIAPE 1234567", R.people) == [{"nome": "", "siape": "1234567"}, {"nome": "", "siape": "7654321"}]
+    assert read(spark, None, R.people) == []
 
 
 def role_events(spark, text):
-    rows = spark.createDataFrame([(text,)], "v string").select(T.role_events(R.role_mentions_udf("v")).alias("r"))
+    rows = spark.createDataFrame([(text,)], "v string").select(T.role_events(R.role_mentions(F.col("v"))).alias("r"))
     return [e.asDict() for e in rows.first().r]
 
 
@@ -87,10 +95,44 @@ def test_inferred_summaries(spark):
     assert tuple(one(spark, None, T.inferred_summary)) == ("", False)
 
 
-def test_citations_take_the_nearest_verb():
-    found = R.citations("", "Conforme o exposto, revoga a Resolução CUV nº 026 e altera a Portaria nº 10.", "", "")
-    assert [(r["relacao"], r["ato_citado"]) for r in found] == [("REVOGA", "Resolução CUV nº 026"), ("ALTERA", "Portaria nº 10.")]
-    assert R.citations(None, None, None, None) == []
+def cited(spark, *values):
+    rows = spark.createDataFrame([values], "a string, b string, c string, d string")
+    return [(r.relacao, r.ato_citado, r.bs_origem, r.trecho) for r in rows.select(R.citations(*map(F.col, "abcd")).alias("r")).first().r]
+
+
+def test_citations_take_the_nearest_verb(spark):
+    found = cited(spark, "", "Conforme o exposto, revoga a Resolução CUV nº 026 e altera a Portaria nº 10.", "", "")
+    assert [r[:2] for r in found] == [("REVOGA", "Resolução CUV nº 026"), ("ALTERA", "Portaria nº 10.")]
+    assert cited(spark, None, None, None, None) == [] and cited(spark, "", "a Portaria nº 10 dorme", "", "") == []
+    # a citation of the act itself, and one made twice
+    assert [r[1] for r in cited(spark, "Revoga a Portaria CUV nº 1.0", "revoga a Portaria nº 5 e revoga a portaria  nº 5", "CUV", "10")] == ["Portaria nº 5"]
+    assert [r[1] for r in cited(spark, "Revoga a Portaria GES nº 1.0", "revoga a Portaria nº 5 e revoga a portaria  nº 5", "CUV", "10")] == ["Portaria GES nº 1.0", "Portaria nº 5"]
+    assert [r[2] for r in cited(spark, "", "revoga a Portaria nº 7, publicada no BS nº 102, de 01/09/2025", "", "")] == ["BS 102 de 01/09/2025"]
+
+
+def test_windows_are_slices_of_the_text(spark):
+    draw = random.Random(5)
+    words = ["EDITAL N1DE 1 DE x DE 2020", "PORTARIA Nº 10, DE 1 DE MAIO DE 2020", "DTS n1", "portaria CUV nº 12", "SIAPE123456", "mat. SIAPE nº 1234567", "ção", "x" * 50, "\n", " "]
+    texts = ["".join(draw.choice(words) + draw.choice(["", " "]) for _ in range(draw.choice([0, 1, 9, 150]))) for _ in range(60)]
+    for pattern, before, after in ((R._TITLE, 400, 1200), (R._CITED, 75, 90), (R._REGISTRATION, 170, 0)):
+        got = spark.createDataFrame(list(enumerate(texts)), "i int, v string").select("i", R.around(F.col("v"), pattern, before, after).alias("r")).collect()
+        for i, rows in got:
+            marks = [m.span() for m in re.finditer(pattern.replace("(?U)", ""), texts[i])]
+            ends = [a for a, _ in marks[1:]] + [len(texts[i])]
+            plain = [(texts[i][a:b], texts[i][max(0, a - before) : a], texts[i][b : b + after], texts[i][b:e]) for (a, b), e in zip(marks, ends)]  # noqa: B905
+            assert [tuple(r) for r in rows] == plain
+
+
+def test_a_unit_is_cited_without_what_follows(spark):
+    for v, r in {
+        "Setor de de Obras desta Universidade Federal": "Setor de Obras", "1ª Divisão  (DGF": "1a Divisão", "(Curso de Letras) –": "Curso de Letras", "Escola da UFF, x": "Escola", "": "", None: None,
+    }.items():
+        assert one(spark, v, T.unit_as_cited) == r
+
+
+def test_a_long_act_is_read_whole(spark):
+    text = "".join(f"designar ANA LIMA, SIAPE {1000000 + i}, para a função de Chefe do Setor {i}; " for i in range(1500))
+    assert len(read(spark, text, R.people)) == 1500 and len(role_events(spark, text)) == 1500
 
 
 def test_search_words(spark):
