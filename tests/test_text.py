@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from actlake.functions import reading as R
 from actlake.functions import text as T
+from actlake.functions import vocabulary as V
 
 
 def read(spark, text, f):
@@ -143,3 +144,22 @@ def test_search_words(spark):
 
 def test_addresses(spark):
     assert one(spark, "https://h/60-22 RETIFICADO.pdf?a=b c", T.safe_url) == "https://h/60-22%20RETIFICADO.pdf?a=b%20c"
+
+
+def test_pieces_of_a_text_also_around_the_mark_that_cuts_it(spark):
+    texts = ["", "SIAPE 123456", "a SIAPE 123456b SIAPE nº 1234567", "none", "\x01 x SIAPE 123456\x01", "$0 \\ SIAPE 123456 $1"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.pieces_of(F.col("t"), R._REGISTRATION).alias("p")).collect()
+    for t, found in rows:
+        assert "".join(found) == t and len(found) % 2 == 1
+        assert [p.lstrip()[:5] for p in found[1::2]] == ["SIAPE"] * t.count("SIAPE")
+
+
+def test_patterns_look_at_one_character_before_they_try_words(spark):
+    texts = ["x \u0131i \u017fiape 123456 SIAPE 123456", "PORTARIA Nº 1, DE 1 DE MAIO DE 2020 a Portaria n\u00ba 5 e a IN nº 7 B", "da função de Chefe da Seção X, A DIRETORA Art. 1 resolve; a II - b", "designa MATR\u0130CULA SIAPE 1234567"]
+    for flags, pattern in (("(?U)", V.TITLE), ("(?U)", V.CITED), ("(?U)", V.REGISTRATION), ("(?iU)", V.ROLE), ("", V.SUMMARY_ENDS), ("(?iuU)", V.OBJECT_END)):
+        look = re.search(r"\(\?i:\(\?=\[[^]]+\]\)\)|\(\?=\[[^]]+\]\)", pattern)
+        assert look and look.start() <= 4
+        hits = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0))
+        plain = flags + pattern.replace(look.group(), "", 1)
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select(hits(flags + pattern), hits(plain)).collect()
+        assert all(a == b for a, b in rows) and any(a for a, _ in rows)
