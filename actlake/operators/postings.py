@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from actlake.functions import text as T
 from actlake.sources.versions import VersionedStore
 
+#: Characters of text, and postings, that one range is sorted from: a larger load makes more ranges, so that a task's memory doesn't grow.
+RANGE_CHARS, RANGE_ROWS = 1 << 24, 1 << 21
 #: Prefixes that one mask of 64 bits holds.
 _BITS = 62
 
@@ -33,12 +35,16 @@ class TextIndex:
         self.store, self.name, self.owners = store, name, f"{name}_rows"
 
     @staticmethod
-    def _ranged(rows: DataFrame) -> DataFrame:
-        return rows.repartitionByRange("token", "id").sortWithinPartitions("token", "id")
+    def _ranged(rows: DataFrame, ranges: int) -> DataFrame:
+        keys = ["token", "id"]
+        usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = rows.repartitionByRange(ranges, *keys) if ranges > usual else rows.repartitionByRange(*keys)
+        return dealt.sortWithinPartitions(*keys)
 
     def _tables(self, rows: DataFrame, texts: list[Column], id_col: str) -> dict[str, DataFrame]:
         load = F.lit(self.store.version() + 1).cast("long").alias("load")
-        return {self.name: self._ranged(postings(rows, texts, id_col)).select("token", "id", load), self.owners: rows.select(F.col(id_col).alias("id"), load)}
+        chars = rows.agg(F.sum(F.length(F.concat_ws(" ", *texts)))).first()[0] or 0
+        return {self.name: self._ranged(postings(rows, texts, id_col), -(-chars // RANGE_CHARS)).select("token", "id", load), self.owners: rows.select(F.col(id_col).alias("id"), load)}
 
     def build(self, rows: DataFrame, texts: list[Column], id_col: str = "id", batch: tuple[str, int] | None = None) -> int:
         """The postings of ``rows`` alone. Rows without text have no posting; a null id is never found."""
@@ -50,9 +56,10 @@ class TextIndex:
 
     def compact(self) -> int:
         """All loads as one."""
-        rows, owners = self._current(self.store.read(self.name)), self.store.read(self.owners)
+        kept, owners = self.store.read(self.name), self.store.read(self.owners)
+        rows, ranges = self._current(kept), -(-kept.count() // RANGE_ROWS)
         load = F.lit(self.store.version() + 1).cast("long").alias("load")
-        return self.store.commit(replaced={self.name: self._ranged(rows.select("token", "id")).select("token", "id", load), self.owners: owners.select("id").distinct().select("id", load)})
+        return self.store.commit(replaced={self.name: self._ranged(rows.select("token", "id"), ranges).select("token", "id", load), self.owners: owners.select("id").distinct().select("id", load)})
 
     def _current(self, found: DataFrame) -> DataFrame:
         """Rows (id, load, ...) of ``found`` that no later load has replaced. The first load can't have replaced anything and isn't read."""

@@ -178,3 +178,15 @@ def test_pages_equal_slices_of_the_sorted_list(spark, tables):
         assert all(len(pages.ranges_of(i * 5, 5)[0]) <= 2 for i in range(60))
     pages.build(frame.limit(0))
     assert pages.total() == 0 and pages.page(1, 5).count() == 0
+
+
+def test_a_larger_load_makes_more_ranges_of_postings(spark, tables, monkeypatch):
+    monkeypatch.setattr("actlake.operators.postings.RANGE_CHARS", 4000, raising=False)
+    monkeypatch.setattr("actlake.operators.postings.RANGE_ROWS", 400, raising=False)
+    index, rows = TextIndex(tables), spark.range(2000).selectExpr("id", "concat('w', id % 500, ' comum') AS t")
+    index.build(rows, [F.col("t")])
+    assert len(tables.read("postings").inputFiles()) > 4
+    index.update(rows.where("id < 3"), [F.lit("outro")])
+    index.compact()
+    now = tables.read("postings")
+    assert len(now.inputFiles()) > 4 and now.count() == 2 * 1997 + 3
