@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actlake.operators import convert, extract, listing, resolve, store
+from actlake.plans import queries as Q
 from actlake.plans.fixtures import ACTS, BULLETIN, RELATIONS, ROLES
 
 OUTCOMES = {
@@ -121,3 +122,8 @@ def test_citing_acts_may_not_count_themselves(spark):
     found = {self_links: {r.rel_id: (r.desfecho, r.ato_destino_id) for r in resolve.resolve_citations(acts, relations, self_links).collect()} for self_links in (True, False)}
     assert found[True] == {"r1": ("ambiguo", None), "r2": ("ok", "a1"), "r3": ("ok", "a2"), "r4": ("ambiguo", None)}
     assert found[False] == {"r1": ("ok", "a2"), "r2": ("ok", "a2"), "r3": ("nao_encontrado", None), "r4": ("ok", "a2")}
+
+
+def test_bulletins_are_cut_into_segments_once(spark):
+    found = Q.queries()["bulletin_records"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if "orders" in f]
