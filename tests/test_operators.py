@@ -127,3 +127,15 @@ def test_citing_acts_may_not_count_themselves(spark):
 def test_bulletins_are_cut_into_segments_once(spark):
     found = Q.queries()["bulletin_records"](spark, "/root/testdata/sf0.001")
     assert not [f for f in found.inputFiles() if "orders" in f]
+
+
+def test_elements_of_an_array_do_not_make_it_again(spark):
+    given = spark.createDataFrame([(1, "b a"), (2, ""), (3, None)], "id int, t string")
+    made = given.select("id", F.when(F.col("t") != "", F.transform(F.split("t", " "), lambda w: F.struct(F.nullif(w, F.lit("a")).alias("w")))).alias("x"))
+    found = convert.elements(made, "x", "id")
+    assert rows(found.select("id", "_at", "_one.*"), "id", "_at", "w") == [(1, 0, "b"), (1, 1, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "Generate" in plan
+    for query in ("bulletin_citations", "bulletin_people", "bulletin_roles"):
+        plan = Q.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Filter ((size(" not in plan and "size(transform(" not in plan
