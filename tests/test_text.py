@@ -163,3 +163,15 @@ def test_patterns_look_at_one_character_before_they_try_words(spark):
         plain = flags + pattern.replace(look.group(), "", 1)
         rows = spark.createDataFrame([(t,) for t in texts], "t string").select(hits(flags + pattern), hits(plain)).collect()
         assert all(a == b for a, b in rows) and any(a for a, _ in rows)
+
+
+def test_windows_reach_over_any_number_of_matches(spark):
+    # a window of 1,200 characters holds some 40 matches here, one of 400 some 13
+    text = " ".join(f"PORTARIA Nº {i}, de 1 de maio de 2020{'.' * (i % 3)}" for i in range(60))
+    at = [m.span() for m in re.finditer(r"PORTARIA Nº \d+, de 1 de maio de 2020", text)]
+    found = read(spark, text, lambda c: R.around(c, R._TITLE, 400, 1200))
+    assert [(w["antes"], w["depois"]) for w in found] == [(text[max(a - 400, 0) : a], text[b : b + 1200]) for a, b in at]
+    # pieces that are too few for the first step, and enough for the second
+    sparse = "".join(f"{'x' * 300} PORTARIA Nº {i}, de 1 de maio de 2020" for i in range(8))
+    at = [m.span() for m in re.finditer(r"PORTARIA Nº \d+, de 1 de maio de 2020", sparse)]
+    assert [w["depois"] for w in read(spark, sparse, lambda c: R.around(c, R._TITLE, 400, 1200))] == [sparse[b : b + 1200] for a, b in at]
