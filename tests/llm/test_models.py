@@ -273,3 +273,25 @@ def test_names_are_not_secrets_and_random_strings_are(spark, tables):
     assert rates["name"].rate <= 0.01 and rates["key"].rate + rates["key"].base >= 0.95
     text = "see com/example/service/impl/UserRepository and ThisIsAVeryLongClassNameForTesting2"
     assert secrets.mask(found.limit(1).withColumn("text", F.lit(text)), model).first().text == text
+
+
+def late_labels(docs, spark):
+    """8,000 labelled rows of which the 2,000 with the largest hashes of their ids are the only ones of label 1."""
+    ids = [r.id for r in spark.range(8000).orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, "some plain words stand here in order") for i in ids[:6000]] + [(i, "VILE!!! ### vilest $$$ words x x x") for i in ids[6000:]]
+    marks = spark.createDataFrame([(i, int(k >= 6000), int(k < 6000)) for k, i in enumerate(ids)], "doc_id long, toxic int, quality int")
+    return docs(rows).repartition(4), marks
+
+
+def test_quality_learns_from_every_labelled_row(docs, spark):
+    rows, marks = late_labels(docs, spark)
+    for part_rows in (quality.PART_ROWS, 1000):
+        found = quality.classify(rows, quality.train(rows, marks, F.lit(True), part_rows=part_rows), F.lit(True))
+        assert found.join(marks, "doc_id").where("predicted != quality").count() == 0
+
+
+def test_toxicity_learns_from_every_labelled_row(docs, spark):
+    rows, marks = late_labels(docs, spark)
+    for part_bytes in (toxicity.PART_BYTES, 60_000):
+        found = toxicity.classify(rows, toxicity.train(rows, marks, F.lit(True), part_bytes=part_bytes), F.lit(True))
+        assert found.join(marks, "doc_id").where("predicted != toxic").count() == 0
