@@ -17,35 +17,52 @@ def resolve_citations(acts: DataFrame, relations: DataFrame, self_links: bool =
     Acts and distinct citations of a kind and number are put in one order by date, in which running counts tell each citation
     how many acts it may mean and which; nothing is made for a pair of a citation and an act.
     """
-    text = F.col("ato_destino_texto")
+    found = answered(acts, relations.select("rel_id", "ato_id", "ato_destino_texto"), self_links).where("desfecho IS NOT NULL")
+    return found.select("rel_id", "ato_id", "desfecho", "ato_destino_id").dropDuplicates(["rel_id", "ato_id"]).drop("ato_id")
+
+
+def answered(acts: DataFrame, relations: DataFrame, self_links: bool = True) -> DataFrame:
+    """``relations`` with desfecho and ato_destino_id as ``resolve_citations`` tells them, and the kind and numbers that each may mean.
+
+    Relations without a text or of an unknown act have nulls there. Each text is read once and resolved once for each date of
+    citing acts, not for each relation. The kind and numbers (alvo_tipo, alvo_numeros) are null for external citations and unreadable ones.
+    """
     acts = acts.select("id", "tipo", "numero", "data_ato", T.without_institution(F.col("sigla")).alias("_sigla"))
-    origin = acts.select(F.col("id").alias("ato_id"), F.col("data_ato").alias("_origem"), F.struct("tipo", "numero").alias("_own"), F.col("_sigla").alias("_own_sigla"))
-    rows = relations.where(F.coalesce(text, F.lit("")) != "").select("rel_id", "ato_id", T.is_external(text).alias("_externo"), T.citation_target(text).alias("_alvo"))
-    numbers = F.when(~F.col("_externo") & F.col("_alvo").isNotNull(), T.number_variants(F.col("_alvo.numero")))
-    cited = rows.select("rel_id", "ato_id", "_externo", F.col("_alvo").isNull().alias("_sem_parse"), F.col("_alvo.tipo").alias("tipo"), T.without_institution(F.col("_alvo.sigla")).alias("_sigla"), F.explode_outer(numbers).alias("numero"))
-    cited = cited.join(origin, "ato_id")
-    found = _possible_acts(acts, cited.where("numero IS NOT NULL").select("tipo", "numero", "_sigla", "_origem").distinct())
+    own = [F.struct("tipo", "numero", F.col("_sigla").alias("sigla")).alias("_own")]
+    origin = acts.select(F.col("id").alias("ato_id"), F.col("data_ato").alias("_origem"), F.lit(True).alias("_known"), *([] if self_links else own))
+    cited = relations.withColumn("_texto", F.coalesce("ato_destino_texto", F.lit(""))).join(origin, "ato_id", "left")
+    asks = cited.where("_known AND _texto != ''").select("_texto", "_origem").distinct()
+    text = F.col("_texto")
+    read = asks.select("_texto").distinct().select("_texto", T.is_external(text).alias("_externo"), T.citation_target(text).alias("_alvo"))
+    read = read.withColumn("_numeros", F.when(~F.col("_externo") & F.col("_alvo").isNotNull(), T.number_variants(F.col("_alvo.numero"))))
+    read = read.select("_texto", "_externo", F.col("_alvo").isNull().alias("_sem_parse"), F.col("_alvo.tipo").alias("tipo"), T.without_institution(F.col("_alvo.sigla")).alias("_sigla"), "_numeros")
+    named = asks.join(read, "_texto").withColumn("numero", F.explode_outer("_numeros"))
+    found = _possible_acts(acts, named.where("numero IS NOT NULL").select("tipo", "numero", "_sigla", "_origem").distinct())
     match = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("tipo", "numero", "_sigla", "_origem")]
-    met = cited.alias("c").join(found.alias("f"), match, "left")
+    met = named.alias("c").join(found.alias("f"), match, "left")
     # an act has one number, so no two variants of a citation meet the same act
-    own = F.lit(0) if self_links else F.coalesce(F.col("c._own") == F.struct("c.tipo", "c.numero"), F.lit(False)).cast("int")
-    own_same = own * F.coalesce((F.col("c._sigla") != "") & (F.col("_own_sigla") == F.col("c._sigla")), F.lit(False)).cast("int")
-    best = met.groupBy("rel_id", "ato_id").agg(
-        F.first("_externo").alias("_externo"), F.first("_sem_parse").alias("_sem_parse"),
-        F.coalesce(F.sum(F.col("n") - own), F.lit(0)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.coalesce(F.sum(F.col("n_same") - own_same), F.lit(0)).alias("n_same"), F.min("same_low").alias("same_low"), F.max("same_high").alias("same_high"),
+    best = met.groupBy("c._texto", "c._origem").agg(
+        F.first("_externo").alias("_externo"), F.first("_sem_parse").alias("_sem_parse"), F.first("c.tipo").alias("_tipo"), F.first("c._sigla").alias("_sigla"), F.first("_numeros").alias("_numeros"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.coalesce(F.sum("n_same"), F.lit(0)).alias("n_same"), F.min("same_low").alias("same_low"), F.max("same_high").alias("same_high"),
     )
+    each = cited.alias("r").join(best.alias("b"), (F.col("r._texto") == F.col("b._texto")) & F.col("r._origem").eqNullSafe(F.col("b._origem")) & F.col("r._known"), "left")
+    n, n_same = F.col("n"), F.col("n_same")
+    if not self_links:
+        itself = F.coalesce((F.col("_own.tipo") == F.col("_tipo")) & F.array_contains("_numeros", F.col("_own.numero")), F.lit(False))
+        n, n_same = n - itself.cast("int"), n_same - (itself & F.coalesce((F.col("b._sigla") != "") & (F.col("_own.sigla") == F.col("b._sigla")), F.lit(False))).cast("int")
     # one act is left: the largest id, but for a citing act that doesn't count itself
     one = lambda low, high: F.col(high) if self_links else F.when(F.col(high) == F.col("ato_id"), F.col(low)).otherwise(F.col(high))
-    target = F.when(F.col("n") == 1, one("low", "high")).when(F.col("n_same") == 1, one("same_low", "same_high"))
+    target = F.when(n == 1, one("low", "high")).when(n_same == 1, one("same_low", "same_high"))
     outcome = (
         F.when(F.col("_externo"), "externo")
         .when(F.col("_sem_parse"), "sem_parse")
-        .when(F.col("n") == 0, "nao_encontrado")
+        .when(n == 0, "nao_encontrado")
         .when(target.isNotNull(), "ok")
-        .otherwise("ambiguo")
+        .when(n.isNotNull(), "ambiguo")
     )
-    return best.select("rel_id", outcome.alias("desfecho"), target.alias("ato_destino_id"))
+    aim = [F.when(F.col("_numeros").isNotNull(), F.col("_tipo")).alias("alvo_tipo"), F.col("_numeros").alias("alvo_numeros")]
+    return each.select(*[F.col(f"r.{c}") for c in relations.columns], outcome.alias("desfecho"), target.alias("ato_destino_id"), *aim)
 
 
 def _possible_acts(acts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -79,16 +96,20 @@ def linked_relations(relations: DataFrame, resolved: DataFrame) -> DataFrame:
     return plain.join(resolved, "rel_id", "left").withColumn("externo", F.coalesce(F.col("desfecho") == "externo", F.lit(False))).drop("desfecho")
 
 
+def edges(relations: DataFrame) -> DataFrame:
+    """(ato_id, ato_destino_id, tipo_relacao) of the linked relations that revoke or alter."""
+    return relations.where(F.col("tipo_relacao").isin("Revoga", "Altera") & F.col("ato_destino_id").isNotNull()).select("ato_id", "ato_destino_id", "tipo_relacao")
+
+
 def validity(acts: DataFrame, relations: DataFrame) -> DataFrame:
     """(id, status) of every act from its in-edges (ato_id, ato_destino_id, tipo_relacao) of acts no older than itself.
 
     Any that revokes makes it revoked, else any that alters altered; all others are active, whatever they were.
     """
-    edges = relations.where(F.col("tipo_relacao").isin("Revoga", "Altera") & F.col("ato_destino_id").isNotNull())
-    edges = edges.join(acts.select(F.col("id").alias("ato_id"), F.col("data_ato").alias("_o")), "ato_id")
-    edges = edges.join(acts.select(F.col("id").alias("ato_destino_id"), F.col("data_ato").alias("_a")), "ato_destino_id")
-    edges = edges.where(F.col("_o").isNull() | F.col("_a").isNull() | (F.col("_o") >= F.col("_a")))
-    found = edges.groupBy(F.col("ato_destino_id").alias("id")).agg(F.count_if(F.col("tipo_relacao") == "Revoga").alias("n"))
+    found = edges(relations).join(acts.select(F.col("id").alias("ato_id"), F.col("data_ato").alias("_o")), "ato_id")
+    found = found.join(acts.select(F.col("id").alias("ato_destino_id"), F.col("data_ato").alias("_a")), "ato_destino_id")
+    found = found.where(F.col("_o").isNull() | F.col("_a").isNull() | (F.col("_o") >= F.col("_a")))
+    found = found.groupBy(F.col("ato_destino_id").alias("id")).agg(F.count_if(F.col("tipo_relacao") == "Revoga").alias("n"))
     status = F.when(F.col("n") > 0, "Revogado").when(F.col("n") == 0, "Alterado").otherwise("Ativo")
     return acts.select("id").join(found, "id", "left").select("id", status.alias("status"))
 

@@ -139,3 +139,10 @@ def test_elements_of_an_array_do_not_make_it_again(spark):
     for query in ("bulletin_citations", "bulletin_people", "bulletin_roles"):
         plan = Q.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Filter ((size(" not in plan and "size(transform(" not in plan
+
+
+def test_relations_are_answered_in_place_each_by_itself(spark):
+    relations = spark.createDataFrame([("x", "a1", "Portaria nº 26"), ("x", "a1", "Portaria nº 26"), ("y", "zz", "Portaria nº 26"), ("z", "a1", None), ("w", "a1", "Portaria MEC nº 77")], "rel_id string, ato_id string, ato_destino_texto string")
+    found = resolve.answered(spark.sql(ACTS), relations)
+    assert sorted(map(str, (tuple(r) for r in found.select("rel_id", "desfecho", "ato_destino_id", "alvo_tipo", "alvo_numeros").collect()))) == sorted(map(str, [
+        *[("x", "ok", "a2", "Portaria", ["26"])] * 2, ("y", None, None, None, None), ("z", None, None, None, None), ("w", "externo", None, None, None)]))
