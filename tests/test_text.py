@@ -175,3 +175,14 @@ def test_windows_reach_over_any_number_of_matches(spark):
     sparse = "".join(f"{'x' * 300} PORTARIA Nº {i}, de 1 de maio de 2020" for i in range(8))
     at = [m.span() for m in re.finditer(r"PORTARIA Nº \d+, de 1 de maio de 2020", sparse)]
     assert [w["depois"] for w in read(spark, sparse, lambda c: R.around(c, R._TITLE, 400, 1200))] == [sparse[b : b + 1200] for a, b in at]
+
+
+def test_an_accented_pattern_finds_what_the_plain_one_finds_in_folded_text(spark):
+    texts = ["DESIGNAR e díspensar", "exônera", "desıgn", "DİSPENSA", "", "dèstituição design", "nada"]
+    hit = lambda c, p: F.regexp_extract(c, f"(?s)^.*({p})", 1)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(hit(T.fold(F.col("t")), V.ROLE_VERBS), T.fold(hit(F.lower("t"), T.accented(V.ROLE_VERBS)))).collect()
+    assert all(a == b for a, b in rows) and [a for a, _ in rows][:2] == ["dispens", "exoner"]
+
+
+def test_pages_of_plain_characters_are_cleaned_like_others(spark):
+    assert [one(spark, t, T.page_text) for t in ("D' Ávila\u200b\u00a0e\u0301 x", "D' Ávila\u00a0é x", "a\x01b\r\n", "x’ y", "", None)] == ["D'Ávila é x", "D'Ávila é x", "ab\r\n", "x’y", "", None]
