@@ -146,3 +146,11 @@ def test_relations_are_answered_in_place_each_by_itself(spark):
     found = resolve.answered(spark.sql(ACTS), relations)
     assert sorted(map(str, (tuple(r) for r in found.select("rel_id", "desfecho", "ato_destino_id", "alvo_tipo", "alvo_numeros").collect()))) == sorted(map(str, [
         *[("x", "ok", "a2", "Portaria", ["26"])] * 2, ("y", None, None, None, None), ("z", None, None, None, None), ("w", "externo", None, None, None)]))
+
+
+def test_what_a_query_of_bulletins_does_not_show_is_not_read(spark):
+    found = Q._bulletin_records(spark, "/root/testdata/sf0.001", "data_ato")
+    assert found.select("id", "dataAssinatura", "linkBoletim").count() == found.select("id").distinct().count() > 0
+    assert not {"relacoes", "funcoes", "trecho"} & set(spark.read.parquet(*{f.rsplit("/", 1)[0] for f in found.inputFiles()}).columns)
+    with pytest.raises(Exception, match="relacoes was not read"):
+        found.select("relacoes").collect()
